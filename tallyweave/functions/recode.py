@@ -12,68 +12,78 @@ from pyspark.sql import functions as F
 _NUMBER = r"-?\d+(?:\.\d+)?"
 
 
-def _literal(text: str) -> Column:
+def _value(text: str) -> str:
     text = text.strip()
     if text == "NA":
-        return F.lit(None)
-    return F.lit(float(text) if "." in text else int(text))
+        return "NULL"
+    if not re.fullmatch(_NUMBER, text):
+        raise ValueError(f"not a code: {text!r}")
+    return text
 
 
-def _condition(column: Column, text: str) -> Column:
+def _condition(column: str, text: str) -> str:
     text = text.strip()
     span = re.fullmatch(rf"({_NUMBER})\s*:\s*({_NUMBER})", text)
     if span:
-        return column.between(_literal(span[1]), _literal(span[2]))
+        return f"{column} BETWEEN {span[1]} AND {span[2]}"
     values = re.fullmatch(r"c\((.*)\)", text)
     if values:
-        return column.isin(*[_literal(v) for v in values[1].split(",")])
+        return f"{column} IN ({', '.join(_value(v) for v in values[1].split(','))})"
     if text == "NA":
-        return column.isNull()
-    return column == _literal(text)
+        return f"{column} IS NULL"
+    return f"{column} = {_value(text)}"
 
 
-def recode(column: Column | str, spec: str, strict: bool = False) -> Column:
+def quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def recode(column: str, spec: str, strict: bool = False) -> Column:
     """Map codes by a list such as ``"1=1; 2:4=2; c(7,8)=0; 9=NA; else=0"``.
 
     The first matching entry wins. Without ``else`` unlisted values (and null) pass
     through unchanged; with ``else`` everything unlisted, null included, takes its
     value. ``strict=True`` fails on an unlisted non-null code instead.
     """
-    column = F.col(column) if isinstance(column, str) else column
-    result, fallback = None, None
+    name = quoted(column)
+    branches: list[tuple[list[str], str]] = []
+    fallback = name
+    if strict:
+        fallback = f"if({name} IS NULL, NULL, raise_error(concat('unlisted code in {column}: ', {name})))"
     for entry in filter(None, (e.strip() for e in spec.split(";"))):
         left, right = entry.split("=")
-        value = _literal(right)
+        value = _value(right)
         if left.strip() == "else":
             fallback = value
+        elif branches and branches[-1][1] == value:
+            branches[-1][0].append(_condition(name, left))
         else:
-            condition = _condition(column, left)
-            result = F.when(condition, value) if result is None else result.when(condition, value)
-    if fallback is None:
-        fallback = column
-        if strict:
-            failure = F.raise_error(F.concat(F.lit("unlisted code "), column.cast("string")))
-            fallback = F.when(column.isNull(), F.lit(None)).otherwise(failure)
-    return (fallback if result is None else result.otherwise(fallback)).cast("int")
-
-
-def assign_rules(rules: Sequence[tuple[Column, object]], default: object = None) -> Column:
-    """Ordered conditional assignment: every rule overwrites the ones before it, a null
-    condition leaves the value alone. Hence a ``when`` chain in reverse rule order."""
-    result = None
-    for condition, value in reversed(rules):
-        result = F.when(condition, F.lit(value)) if result is None else result.when(condition, F.lit(value))
-    return (F.lit(default) if result is None else result.otherwise(F.lit(default))).cast("int")
-
-
-def flip(column: Column | str) -> Column:
+            branches.append(([_condition(name, left)], value))
+    if not branches:
+        return F.expr(f"CAST({fallback} AS INT)")
+    whens = " ".join(f"WHEN {' OR '.join(conditions)} THEN {value}" for conditions, value in branches)
+    return F.expr(f"CAST(CASE {whens} ELSE {fallback} END AS INT)")
+
+
+def assign_rules(rules: Sequence[tuple[str, int | None]], default: int | None = None) -> Column:
+    """Ordered conditional assignment of (SQL condition, value): every rule overwrites the
+    ones before it, a null condition leaves the value alone. Hence a CASE in reverse order."""
+
+    def text(value: int | None) -> str:
+        return "NULL" if value is None else str(value)
+
+    whens = " ".join(f"WHEN {condition} THEN {text(value)}" for condition, value in reversed(rules))
+    return F.expr(f"CAST(CASE {whens} ELSE {text(default)} END AS INT)")
+
+
+def flip(column: str) -> Column:
     """Turn 0 into 1 and 1 into 0; anything else passes."""
     return recode(column, "1=0; 0=1;")
 
 
 def row_sum(columns: Sequence[str]) -> Column:
     """Sum across columns of one row, nulls counted as zero."""
-    return reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0)) for c in columns])
+    return F.expr(" + ".join(f"coalesce({quoted(c)}, 0)" for c in columns))
 
 
 def any_of(conditions: Sequence[Column]) -> Column:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from tallyweave.functions.recode import assign_rules, flip, recode
+from tallyweave.session import tuned
 
 KEY = "volgnummer"
 WEIGHT = "ewGGD"
@@ -85,27 +85,20 @@ TRAINING = [
 
 def ordered_rules() -> dict[str, Column]:
     """Columns built by rules in which a later one overwrites an earlier one."""
-    c = F.col
 
     def yes_no(source: str) -> Column:
-        return assign_rules([(c(source) == 1, 1), (c(source) == 9, None)], default=0)
+        return assign_rules([(f"{source} = 1", 1), (f"{source} = 9", None)], default=0)
 
     def lacking_friends(source: str) -> Column:
-        return assign_rules([((c(source) == 2) | (c(source) == 3), 1), (c(source) == 9, None)], default=0)
+        return assign_rules([(f"{source} = 2 OR {source} = 3", 1), (f"{source} = 9", None)], default=0)
 
     return {
-        "angstdepressie_dich": assign_rules([(c("GGADS201") > 22, 1), (c("GGADS201") == 9, None)], default=0),
+        "angstdepressie_dich": assign_rules([("GGADS201 > 22", 1), ("GGADS201 = 9", None)], default=0),
         "werkopleiding": assign_rules(
-            [
-                ((c("MMWSA205") == 1) | (c("MMWSA211") == 1), 1),
-                ((c("MMWSA205") == 9) & (c("MMWSA211") == 9), None),
-            ],
-            default=0,
+            [("MMWSA205 = 1 OR MMWSA211 = 1", 1), ("MMWSA205 = 9 AND MMWSA211 = 9", None)], default=0
         ),
         "vrijwilligerswerk": yes_no("MMVWB201"),
-        "mantelzorg": assign_rules(
-            [(c("MCMZGS203") == 0, 0), (c("MCMZGS203") == 1, 1), (c("MCMZGS203") == 9, None)]
-        ),
+        "mantelzorg": assign_rules([("MCMZGS203 = 0", 0), ("MCMZGS203 = 1", 1), ("MCMZGS203 = 9", None)]),
         "vriendenkring": lacking_friends("GGEEB206"),
         "goedevriend": lacking_friends("GGEEB202"),
         "mensenomheen": lacking_friends("GGEEB209"),
@@ -114,6 +107,7 @@ def ordered_rules() -> dict[str, Column]:
 
 def enrich(survey: DataFrame) -> DataFrame:
     """Every recoded column next to the raw answers; two projections, no shuffle."""
+    tuned(survey.sparkSession)
     base = survey.withColumns(
         {target: recode(source, spec) for target, (source, spec) in RECODES.items()} | ordered_rules()
     )

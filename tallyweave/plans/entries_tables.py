@@ -635,16 +635,11 @@ def _(spark, sf_dir):
     return rounded(profile.stacked_shares(cells, "row", "level", "pct").select("row", "level", "stack_to"))
 
 
-_EDGES = (
-    "e AS (SELECT list_sort(list_distinct(quantile_cont(c_acctbal, [i / 8.0 FOR i IN range(9)]))) AS edges FROM customer)"
-)
-
-
 def _bins_sql(bins: int) -> str:
     probabilities = ", ".join(f"{i / bins!r}" for i in range(bins + 1))
     return (
         f"WITH e AS (SELECT list_sort(list_distinct(quantile_cont(c_acctbal, [{probabilities}]))) AS edges FROM customer), "
-        "b AS (SELECT CAST(greatest(1, len(list_filter(edges, x -> x < c_acctbal))) AS INT) AS bin, edges FROM customer, e) "
+        "b AS (SELECT CAST(greatest(1, len(list_filter(edges, lambda x: x < c_acctbal))) AS INT) AS bin, edges FROM customer, e) "
         "SELECT bin, count(*) AS n, round(edges[bin], 6) AS x_from, round(edges[bin + 1], 6) AS x_to FROM b GROUP BY bin, edges"
     )
 
@@ -716,13 +711,20 @@ _MISSED = [f"{c}" for c in FEATURES[:10]]
 
 @query(
     "predictor_select",
-    f"WITH {S.INCLUDED}, c AS ("
+    f"WITH {S.INCLUDED}, m AS MATERIALIZED (SELECT "
+    + ", ".join(
+        f"greatest(coalesce(abs(corr({a}, {b})), 0), coalesce(abs(corr(CASE WHEN {a} IS NULL THEN 1 ELSE 0 END, {b})), 0)) "
+        f"AS s_{i}_{j}"
+        for i, a in enumerate(FEATURES)
+        for j, b in enumerate(FEATURES)
+        if i != j
+    )
+    + " FROM included), c AS ("
     + " UNION ALL ".join(
-        f"SELECT '{a}' AS target, '{b}' AS predictor, greatest(coalesce(abs(corr({a}, {b})), 0), "
-        f"coalesce(abs(corr(CASE WHEN {a} IS NULL THEN 1 ELSE 0 END, {b})), 0)) AS strength FROM included"
-        for a in FEATURES
-        for b in FEATURES
-        if a != b
+        f"SELECT '{a}' AS target, '{b}' AS predictor, s_{i}_{j} AS strength FROM m"
+        for i, a in enumerate(FEATURES)
+        for j, b in enumerate(FEATURES)
+        if i != j
     )
     + ") SELECT target, predictor FROM c WHERE strength >= 0.2",
 )
@@ -742,7 +744,7 @@ def _(spark, sf_dir):
 
 @query(
     "median_fill",
-    f"WITH {S.INCLUDED}, m AS (SELECT "
+    f"WITH {S.INCLUDED}, m AS MATERIALIZED (SELECT "
     + ", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in _MISSED)
     + " FROM included) SELECT volgnummer, "
     + ", ".join(f"CAST(coalesce(i.{c}, m.{c}) AS DOUBLE) AS {c}" for c in _MISSED)

@@ -52,17 +52,17 @@ def _listed(expressions: dict[str, str]) -> str:
 
 _SCORE = " + ".join(f"coalesce({c}, 0)" for c in ISSUES)
 
-SURVEY = f"survey AS ({survey_sql()})"
+SURVEY = f"survey AS MATERIALIZED ({survey_sql()})"
 ENRICHED = (
     f"{SURVEY}, recoded AS (SELECT *, {_listed(MAPS)}, {_listed(RULES)} FROM survey), "
     f"enriched AS (SELECT *, {', '.join(f'CAST(1 - {c} AS INT) AS {c}_dich' for c in FLIPS)} FROM recoded)"
 )
-SCORED = f"{ENRICHED}, scored AS (SELECT *, CAST({_SCORE} AS INT) AS score_zw FROM enriched)"
+SCORED = f"{ENRICHED}, scored AS MATERIALIZED (SELECT *, CAST({_SCORE} AS INT) AS score_zw FROM enriched)"
 _INCLUDED = "(GGEES203 > 8 OR GGRLS202 < 23 OR GGADS201 > 20 OR KLGGA207 = 3 OR score_zw > 4)"
-INCLUDED = f"{SCORED}, included AS (SELECT * FROM scored WHERE {_INCLUDED})"
+INCLUDED = f"{SCORED}, included AS MATERIALIZED (SELECT * FROM scored WHERE {_INCLUDED})"
 # a planted cluster label for the included group, null for everybody else
 LABELLED = (
-    f"{SCORED}, labelled AS (SELECT *, CASE WHEN {_INCLUDED} THEN CAST(1 + volgnummer % 9 AS INT) END AS cl_pam "
+    f"{SCORED}, labelled AS MATERIALIZED (SELECT *, CASE WHEN {_INCLUDED} THEN CAST(1 + volgnummer % 9 AS INT) END AS cl_pam "
     "FROM scored)"
 )
 FEATURE_LIST = ", ".join(FEATURES)

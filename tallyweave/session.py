@@ -3,14 +3,45 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SHIPPED: set[str] = set()
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """Runtime settings the wide row expressions rely on, and the package on the workers.
+
+    * The JVM interprets methods above 8000 bytes of bytecode instead of compiling them. A
+      fused stage with a hundred recoded columns exceeds that; the lower limit makes Spark
+      fall back to split methods there (recoding runs three to five times faster).
+    * Constraint propagation substitutes aliases into aliases, which takes exponential
+      time on filters over dozens of recoded columns; the filters it could infer here are
+      null checks on keys that are never null.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    # blocks travel as rows of up to a megabyte: bound a batch by bytes, not by rows
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    application = spark.sparkContext.applicationId
+    if application not in _SHIPPED:
+        folder = tempfile.mkdtemp(prefix="tallyweave-package-")
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = shutil.make_archive(
+            os.path.join(folder, "tallyweave"), "zip", os.path.dirname(package), os.path.basename(package)
+        )
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(application)
+    return spark
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks on one machine. A cluster brings its own."""
-    return (
+    return tuned(
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tallyweave")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
