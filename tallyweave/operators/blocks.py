@@ -37,15 +37,13 @@ def distinct_points(df: DataFrame, key: str, columns: Sequence[str], extra: Sequ
     )
 
 
-def as_points(df: DataFrame, columns: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
-    """``id``, ``x`` as array, ``w``, ``label`` from a table with ``id`` and the columns."""
-    has = set(df.columns)
+def as_points(df: DataFrame, columns: Sequence[str], labels: Sequence[str] = ()) -> DataFrame:
+    """``id``, ``x``, ``w``, ``labels`` from a table with ``id``, ``w`` and the columns."""
     return df.select(
         "id",
         F.array(*[F.col(c).cast("double") for c in columns]).alias("x"),
-        (F.col("w") if "w" in has else F.lit(1.0)).alias("w"),
-        (F.col("label") if "label" in has else F.lit(0)).cast("int").alias("label"),
-        *extra,
+        "w",
+        F.array(*[F.col(c).cast("int") for c in labels]).cast("array<int>").alias("labels"),
     )
 
 
@@ -53,7 +51,7 @@ def as_points(df: DataFrame, columns: Sequence[str], extra: Sequence[str] = ())
 class Blocks:
     """Packed blocks and what is known of their cells."""
 
-    rows: DataFrame  # cell, chunk, ids, xs, ws, labels
+    rows: DataFrame  # cell, chunk, ids, xs, ws, labels (flat arrays)
     dim: int
     pivots: np.ndarray  # one per cell
     radius: np.ndarray
@@ -79,7 +77,7 @@ def build_blocks(
     max_cells: int = MAX_CELLS,
     pivots: np.ndarray | None = None,
 ) -> Blocks:
-    """Cut points (id, x, w, label) into blocks. Pivots are the points with the smallest
+    """Cut points (id, x, w, labels) into blocks. Pivots are the points with the smallest
     hashes: a bounded number of vectors on the driver, the same for any partitioning."""
     dim = len(points.select("x").first()[0])
     if pivots is None:
@@ -103,8 +101,8 @@ def build_blocks(
                 [*batch.columns, pa.array(cell), pa.array(reach)], names=[*batch.schema.names, "cell", "reach"]
             )
 
-    fields = "id long, x array<double>, w double, label int"
-    placed = points.select("id", "x", "w", "label").mapInArrow(assign, fields + ", cell int, reach double")
+    fields = "id long, x array<double>, w double, labels array<int>"
+    placed = points.select("id", "x", "w", "labels").mapInArrow(assign, fields + ", cell int, reach double")
     placed = cut_lineage(placed)
     meta = (
         placed.groupBy("cell")
@@ -118,7 +116,7 @@ def build_blocks(
         w_min[row["cell"]], w_max[row["cell"]] = row["lo"], row["hi"]
     chunks = np.maximum(np.ceil(count / block_rows), 1).astype(int)
     per_cell = F.array(*[F.lit(int(v)) for v in chunks])
-    member = F.sort_array(F.collect_list(F.struct("id", "x", "w", "label")))
+    member = F.sort_array(F.collect_list(F.struct("id", "x", "w", "labels")))
     rows = (
         placed.withColumn("chunk", F.pmod(F.xxhash64("id"), F.get(per_cell, F.col("cell"))).cast("int"))
         .groupBy("cell", "chunk")
@@ -129,7 +127,7 @@ def build_blocks(
             F.col("m.id").alias("ids"),
             F.flatten("m.x").alias("xs"),
             F.col("m.w").alias("ws"),
-            F.col("m.label").alias("labels"),
+            F.flatten("m.labels").alias("labels"),
         )
     )
     return Blocks(cut_lineage(rows), dim, pivots, radius, count, chunks, w_min, w_max)
@@ -205,7 +203,7 @@ def meet(queries: Blocks, data: Blocks, cells: np.ndarray, kernel: Kernel, schem
                     arrays["ids"],
                     arrays["xs"].astype(float).reshape(-1, dim),
                     arrays["ws"],
-                    arrays["labels"],
+                    arrays["labels"].astype(float),
                 )
                 yield pa.RecordBatch.from_pydict(made)
 
@@ -267,17 +265,25 @@ def gower_kernel(k: int, ranges: Sequence[float | None]) -> Kernel:
 
 
 def cluster_sums_kernel(qids, qx, qw, ids, x, w, labels):
-    """Weighted sum of distances from every query to each cluster present in the block."""
-    found = np.unique(labels)
-    hot = (labels[:, None] == found[None, :]) * w[:, None]
+    """Weighted sum of distances from every query to each cluster present in the block,
+    for every labelling the points carry (a gap in the labels means not clustered)."""
+    labels = labels.reshape(len(ids), -1)
+    found, hot = [], []
+    for method in range(labels.shape[1]):
+        here = labels[:, method]
+        for c in np.unique(here[~np.isnan(here)]):
+            found.append((method, int(c)))
+            hot.append((here == c) * w)
+    weights = np.array(hot).T
     sums = np.zeros((len(qx), len(found)))
     for lo in range(0, len(qx), 512):
         gap = np.zeros((len(qx[lo : lo + 512]), len(x)))
         for j in range(x.shape[1]):  # differences, not the expanded form: no cancellation
             gap += (qx[lo : lo + 512, j][:, None] - x[:, j][None, :]) ** 2
-        sums[lo : lo + 512] = np.sqrt(gap) @ hot
+        sums[lo : lo + 512] = np.sqrt(gap) @ weights
     return {
         "id": np.repeat(qids, len(found)),
-        "cluster": np.tile(found, len(qids)).astype(np.int32),
+        "method": np.tile(np.array([m for m, _ in found], dtype=np.int32), len(qids)),
+        "cluster": np.tile(np.array([c for _, c in found], dtype=np.int32), len(qids)),
         "total": sums.ravel(),
     }

@@ -709,8 +709,7 @@ def _(spark, sf_dir):
 _MISSED = [f"{c}" for c in FEATURES[:10]]
 
 
-@query(
-    "predictor_select",
+_PREDICTORS = (
     f"WITH {S.INCLUDED}, m AS MATERIALIZED (SELECT "
     + ", ".join(
         f"greatest(coalesce(abs(corr({a}, {b})), 0), coalesce(abs(corr(CASE WHEN {a} IS NULL THEN 1 ELSE 0 END, {b})), 0)) "
@@ -726,19 +725,19 @@ _MISSED = [f"{c}" for c in FEATURES[:10]]
         for j, b in enumerate(FEATURES)
         if i != j
     )
-    + ") SELECT target, predictor FROM c WHERE strength >= 0.2",
+    + ") SELECT target, predictor FROM c WHERE strength >= 0.2"
 )
+
+
+@query("predictor_select", _PREDICTORS)
 def _(spark, sf_dir):
     return missing.select_predictors(feature_table(demo_survey(spark, sf_dir)), FEATURES, mincor=0.2)
 
 
-@query(
-    "predictor_store",
-    "SELECT 'l_quantity' AS target, 'l_extendedprice' AS predictor UNION ALL SELECT 'l_extendedprice', 'l_quantity'",
-)
+@query("predictor_store", _PREDICTORS)
 def _(spark, sf_dir):
     path = scratch(spark)
-    io.save_predictors(missing.select_predictors(table(spark, sf_dir, "lineitem"), _LINE, mincor=0.35), path)
+    io.save_predictors(missing.select_predictors(feature_table(demo_survey(spark, sf_dir)), FEATURES, mincor=0.2), path)
     return io.load_predictors(spark, path)
 
 
