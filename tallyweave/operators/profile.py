@@ -181,7 +181,7 @@ def bin_edges(df: DataFrame, value: str, bins: int | None = None, kind: str = "q
         bins = sturges(df.agg(F.count(value)).first()[0])
     if kind == "equal":
         lo, hi = df.agg(F.min(x), F.max(x)).first()
-        edges = [lo + (hi - lo) * i / bins for i in range(bins + 1)]
+        edges = [lo + (hi - lo) * i / bins for i in range(bins)] + [hi]
     else:
         probabilities = [i / bins for i in range(bins + 1)]
         row = quantiles_of(ordered_totals(df, value), value, probabilities).first()
