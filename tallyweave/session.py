@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("TALLYWEAVE_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
@@ -73,7 +75,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on reliable shared storage, so that loops keep short plans
-    and a lost executor costs one step rather than the whole history."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and go on from the written table.
+
+    Loops keep short plans and a lost executor costs one step rather than the whole
+    history. A table rather than a checkpoint, because a table is planned with its real
+    size: a checkpoint keeps the size estimated for its old plan, and after a few rounds
+    of joins those estimates make broadcasts impossible and their product astronomical.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/steps-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
