@@ -32,6 +32,7 @@ class Segmentation:
     impute_iterations: int = 10
     impute_extra_iterations: int = 15
     kmeans_iterations: int = 1000
+    medoid_iterations: int = 50
     seed: int = 500
     inclusion: Inclusion = field(default_factory=Inclusion)
 

@@ -276,3 +276,9 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     points = plane(spark, sf_dir).withColumn("cluster", (F.floor("x") % 3).cast("int"))
     return hull.cluster_hulls(points, "cluster", "x", "y")
+
+
+@query("divisive_labels")
+def _(spark, sf_dir):
+    points = moments.standardise(plane(spark, sf_dir), ["x", "y"])
+    return kmeans.divisive(points, ["x", "y"], 9).select("c_custkey", "cluster")

@@ -270,8 +270,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """The whole segmentation with few iterations; everybody with label and flag."""
     quick = Segmentation(
-        perplexity=10, tsne_iterations=20, umap_iterations=20, chains=1, impute_iterations=1, impute_extra_iterations=0,
-        kmeans_iterations=10, min_correlation=0.35,
+        perplexity=5, tsne_iterations=10, umap_iterations=10, chains=1, impute_iterations=1, impute_extra_iterations=0,
+        kmeans_iterations=5, medoid_iterations=2, min_correlation=0.35,
     )
     built = pipeline.build_segments(demo_survey(spark, sf_dir), quick, compare=False)
     return built.population.select(KEY, "tsne_cl_pam", "tsne_cl_kmeans", "umap_cl_dbscan", "vulnerable", "outlier")

@@ -251,7 +251,7 @@ def _(spark, sf_dir):
 
 @query("snapshot_round_trip", f"WITH {S.INCLUDED} SELECT volgnummer, {S.FEATURE_LIST} FROM included")
 def _(spark, sf_dir):
-    path, scope = scratch(spark), io.RunScope("ZHZ", features=22, k=9, perplexity=40)
+    path, scope = scratch(spark), io.RunScope("south", features=22, k=9, perplexity=40)
     io.save_snapshot(feature_table(demo_survey(spark, sf_dir)), path, scope)
     return io.load_snapshot(spark, path, scope)
 
@@ -293,15 +293,15 @@ def _(spark, sf_dir):
 @query(
     "outer_merge",
     'SELECT coalesce(a.k, b.k) AS k, a.label AS "label.x", b.label AS "label.y", a.price, b.quality FROM '
-    "(SELECT doc_id AS k, lang AS label, n_chars AS price FROM documents WHERE doc_id % 3 <> 0) a FULL JOIN "
-    "(SELECT doc_id AS k, CAST(toxic AS VARCHAR) AS label, quality FROM labels) b ON a.k = b.k",
+    "(SELECT doc_id AS k, lang AS label, n_chars AS price FROM documents) a FULL JOIN "
+    "(SELECT doc_id + 100 AS k, CAST(toxic AS VARCHAR) AS label, quality FROM labels) b ON a.k = b.k",
 )
 def _(spark, sf_dir):
-    left = table(spark, sf_dir, "documents").where(F.col("doc_id") % 3 != 0).select(
+    left = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("k"), F.col("lang").alias("label"), F.col("n_chars").alias("price")
     )
     right = table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("k"), F.col("toxic").cast("string").alias("label"), "quality"
+        (F.col("doc_id") + 100).alias("k"), F.col("toxic").cast("string").alias("label"), "quality"
     )
     return combine.merge(left, right, "k", "full")
 

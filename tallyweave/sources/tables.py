@@ -16,7 +16,7 @@ class RunScope:
     """What a stored artefact belongs to: organisation, project and run parameters."""
 
     organisation: str
-    project: str = "kwetsbaar"
+    project: str = "survey"
     features: int | None = None
     k: int | None = None
     perplexity: int | None = None
@@ -50,18 +50,18 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
 def save_snapshot(df: DataFrame, path: str, scope: RunScope) -> None:
     """Stage table partitioned by organisation and run, so that a reader prunes folders."""
     (
-        df.withColumns({"ggd": F.lit(scope.organisation), "run_id": F.lit(scope.run_id)})
+        df.withColumns({"organisation": F.lit(scope.organisation), "run_id": F.lit(scope.run_id)})
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("ggd", "run_id")
+        .partitionBy("organisation", "run_id")
         .parquet(path)
     )
 
 
 def load_snapshot(spark: SparkSession, path: str, scope: RunScope) -> DataFrame:
     stored = spark.read.parquet(path)
-    wanted = (F.col("ggd") == scope.organisation) & (F.col("run_id") == scope.run_id)
-    return stored.where(wanted).drop("ggd", "run_id")
+    wanted = (F.col("organisation") == scope.organisation) & (F.col("run_id") == scope.run_id)
+    return stored.where(wanted).drop("organisation", "run_id")
 
 
 def write_csv(df: DataFrame, path: str, sort_by: Sequence[str] = ()) -> None:
