@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SALTS = 64
+
 
 def _corners(points: np.ndarray) -> np.ndarray:
     """Hull corners, counter-clockwise from the lowest x (monotone chain)."""
@@ -48,5 +50,13 @@ def cluster_hulls(df: DataFrame, cluster: str, x: str, y: str) -> DataFrame:
         p = _corners(part[["x", "y"]].to_numpy())
         return pd.DataFrame({"cluster": part["cluster"].iloc[0], "vertex": range(1, len(p) + 1), "x": p[:, 0], "y": p[:, 1]})
 
-    pruned = typed.mapInPandas(prune, "cluster int, x double, y double")
-    return pruned.groupBy("cluster").applyInPandas(finish, "cluster int, vertex int, x double, y double")
+    def thin(part: pd.DataFrame) -> pd.DataFrame:
+        p = _corners(part[["x", "y"]].to_numpy())
+        return pd.DataFrame({"cluster": part["cluster"].iloc[0], "x": p[:, 0], "y": p[:, 1]})
+
+    fields = "cluster int, x double, y double"
+    pruned = typed.mapInPandas(prune, fields)
+    # with very many tasks even their corners are many: thin them in salted groups first
+    salted = pruned.withColumn("salt", F.pmod(F.xxhash64("x", "y"), F.lit(SALTS)))
+    thinned = salted.groupBy("cluster", "salt").applyInPandas(thin, fields)
+    return thinned.groupBy("cluster").applyInPandas(finish, "cluster int, vertex int, x double, y double")
