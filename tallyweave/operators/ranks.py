@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.session import cut_lineage
+
 BUCKETS = 128
 
 
@@ -74,6 +76,8 @@ def ordered_totals(
         .groupBy(*by, value)
         .agg(F.count(F.lit(1)).alias("n"), weighed.alias("w"))
     )
+    # the sketch, the bucket totals and the result all read it: scan the data once
+    base = cut_lineage(base)
     return _prefixed(_bucketed(base, by, value, buckets), by, value, [], buckets)
 
 

@@ -48,12 +48,21 @@ def crosstabs(df: DataFrame, row: str, questions: Sequence[str], weight: str | N
         .where(F.col("level").isNotNull())
     )
     cells = long.groupBy("question", "row", "level").agg(F.sum("__w").alias("weight"))
-    rows = cells.groupBy("question", "row").agg(F.sum("weight").alias("row_weight"))
-    levels = cells.select("question", "level").distinct()
-    frame = rows.join(levels, "question")
+    # complete the table from the cells themselves, so that the data is scanned once
+    levels = F.array_sort(F.collect_set("level").over(Window.partitionBy("question")))
+    rows = (
+        cells.withColumn("levels", levels)
+        .groupBy("question", "row")
+        .agg(
+            F.first("levels").alias("levels"),
+            F.sum("weight").alias("row_weight"),
+            F.map_from_entries(F.collect_list(F.struct("level", "weight"))).alias("weights"),
+        )
+    )
+    weight_at = F.coalesce(F.try_element_at("weights", F.col("level")), F.lit(0.0))
     return (
-        frame.join(cells, ["question", "row", "level"], "left")
-        .withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+        rows.select("question", "row", "row_weight", "weights", F.explode("levels").alias("level"))
+        .withColumn("weight", weight_at)
         .withColumn("pct", percent(F.col("weight"), F.col("row_weight")))
         .select("question", "row", "level", "weight", "pct")
     )
