@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import table
+from tallyweave.llm.common import held_fold, table
+from tallyweave.llm.compression_langid import classify, learn_dictionaries
+from tallyweave.llm.cube_mixing import mix
 from tallyweave.llm.multiset_hash import fingerprint_edits
 from tallyweave.llm.quality_llr import bucket_ratios, judge_quality
+from tallyweave.llm.simhash_segments import near_duplicates
 from tallyweave.llm.url_filter import Rule, judge_urls
+from tallyweave.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +92,26 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op6_compression_langid")
+def op6_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of all documents; a third of them is never learned from."""
+    ship_package(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (held_fold(F.col("doc_id"), 3) == 1).alias("held_out"))
+    learned = learn_dictionaries(docs.where("NOT held_out"))
+    return classify(docs.select("doc_id", "held_out", "text"), learned).drop("text")
+
+
+@query("op10_simhash_segments")
+def op10_simhash_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents."""
+    ship_package(spark)
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_cube_mixing")
+def op9_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes every document, and the targets of the sources."""
+    ship_package(spark)
+    return mix(table(spark, sf_dir, "documents")).drop("copies")
