@@ -13,6 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 _SHIPPED: set[str] = set()
 
 
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Give the workers this package, once per application."""
+    application = spark.sparkContext.applicationId
+    if application not in _SHIPPED:
+        folder = tempfile.mkdtemp(prefix="tallyweave-package-")
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = shutil.make_archive(
+            os.path.join(folder, "tallyweave"), "zip", os.path.dirname(package), os.path.basename(package)
+        )
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(application)
+    return spark
+
+
 def tuned(spark: SparkSession) -> SparkSession:
     """Runtime settings the wide row expressions rely on, and the package on the workers.
 
@@ -28,16 +42,7 @@ def tuned(spark: SparkSession) -> SparkSession:
     # blocks travel as rows of up to a megabyte: bound a batch by bytes, not by rows
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
-    application = spark.sparkContext.applicationId
-    if application not in _SHIPPED:
-        folder = tempfile.mkdtemp(prefix="tallyweave-package-")
-        package = os.path.dirname(os.path.abspath(__file__))
-        archive = shutil.make_archive(
-            os.path.join(folder, "tallyweave"), "zip", os.path.dirname(package), os.path.basename(package)
-        )
-        spark.sparkContext.addPyFile(archive)
-        _SHIPPED.add(application)
-    return spark
+    return ship_package(spark)
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
