@@ -12,10 +12,18 @@ from tallyweave.llm.compression_langid import classify, learn_dictionaries
 from tallyweave.llm.cube_mixing import mix
 from tallyweave.llm.multiset_hash import fingerprint_edits
 from tallyweave.llm.quality_llr import bucket_ratios, judge_quality
+from tallyweave.llm.nnls_packing import pack
 from tallyweave.llm.simhash_segments import near_duplicates
 from tallyweave.llm.url_filter import Rule, judge_urls
 from tallyweave.session import ship_package
 
+def tokenizer_path() -> str:
+    """Where the vocabulary of the packing query lies; a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -115,3 +123,10 @@ def op9_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the mix takes every document, and the targets of the sources."""
     ship_package(spark)
     return mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
+@query("op4_nnls_packing")
+def op4_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4,096 tokens."""
+    ship_package(spark)
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
