@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from tallyweave.llm.quality_llr import bucket_ratios, judge_quality
 from tallyweave.llm.nnls_packing import pack
 from tallyweave.llm.simhash_segments import near_duplicates
 from tallyweave.llm.url_filter import Rule, judge_urls
-from tallyweave.session import ship_package
+from tallyweave.llm.warc_bundles import read_bundles, write_bundles
+from tallyweave.session import shared_dir, ship_package
 
 def tokenizer_path() -> str:
     """Where the vocabulary of the packing query lies; a parameter of the operator."""
@@ -130,3 +132,12 @@ def op4_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4,096 tokens."""
     ship_package(spark)
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+
+
+@query("op1_warc_bundles")
+def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages archived in the shared folder and read back from there."""
+    ship_package(spark)
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    write_bundles(table(spark, sf_dir, "pages"), path)
+    return read_bundles(spark.read.parquet(path), with_payload=False)
