@@ -14,6 +14,7 @@ from tallyweave.llm.cube_mixing import mix
 from tallyweave.llm.multiset_hash import fingerprint_edits
 from tallyweave.llm.quality_llr import bucket_ratios, judge_quality
 from tallyweave.llm.nnls_packing import pack
+from tallyweave.llm.recurrent_lm import score_documents
 from tallyweave.llm.simhash_segments import near_duplicates
 from tallyweave.llm.url_filter import Rule, judge_urls
 from tallyweave.llm.warc_bundles import read_bundles, write_bundles
@@ -141,3 +142,10 @@ def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_bundles(table(spark, sf_dir, "pages"), path)
     return read_bundles(spark.read.parquet(path), with_payload=False)
+
+
+@query("op2_recurrent_lm")
+def op2_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihoods of all documents; a fifth of them is never learned from."""
+    ship_package(spark)
+    return score_documents(table(spark, sf_dir, "documents"))
