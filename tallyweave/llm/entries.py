@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyweave.llm.common import held_fold, table
 from tallyweave.llm.compression_langid import classify, learn_dictionaries
 from tallyweave.llm.cube_mixing import mix
+from tallyweave.llm.license_scan import scan
 from tallyweave.llm.multiset_hash import fingerprint_edits
 from tallyweave.llm.quality_llr import bucket_ratios, judge_quality
 from tallyweave.llm.nnls_packing import pack
@@ -149,3 +150,18 @@ def op2_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-likelihoods of all documents; a fifth of them is never learned from."""
     ship_package(spark)
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op8_license_scan")
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses of all documents, laid out as files of a tree by their id: eight to a folder, eight
+    folders to the next, four levels deep; the first document of a folder is its licence file."""
+    docs = table(spark, sf_dir, "documents")
+    at = lambda size: F.floor(F.col("doc_id") / size)
+    levels = [4096, 512, 64, 8]
+    path = F.concat_ws("/", F.lit(""), *[at(n) for n in levels], F.concat(F.col("doc_id"), F.lit(".txt")))
+    for depth, n in sorted(enumerate(levels, 1), reverse=True):  # the outermost folder wins
+        licence = F.concat_ws("/", F.lit(""), *[at(k) for k in levels[:depth]], F.lit("LICENSE"))
+        path = F.when(F.col("doc_id") % n == 0, licence).otherwise(path)
+    first = F.when(F.col("doc_id").isNotNull(), path)
+    return scan(docs.select("doc_id", first.alias("path"), "text"), keep=["doc_id"])
