@@ -66,10 +66,29 @@ class Blocks:
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances by the product form, about the middle of ``b``: quick, and off by
+    rounding (see :func:`_rounding`) where the distances are small against the spread."""
+    middle = b.mean(axis=0) if len(b) else 0.0
+    a, b = a - middle, b - middle
     d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
     return np.maximum(d, 0.0)
 
 
+def _rounding(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How far, at most, each row of :func:`_squared` is from the truth."""
+    middle = b.mean(axis=0)
+    reach = ((a - middle) ** 2).sum(1) + ((b - middle) ** 2).sum(1).max()
+    return 1e-14 * (a.shape[1] + 4) * reach
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances by differences, exact to the last places."""
+    total = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        total += (a[:, j][:, None] - b[:, j][None, :]) ** 2
+    return total
+
+
 def build_blocks(
     points: DataFrame,
     seed: int = 17,
@@ -156,7 +175,7 @@ def cells_within_reach(queries: Blocks, data: Blocks, k: int, ward: bool = False
     smallest such bound that covers k points caps the k-th distance, and cells whose
     lower bound D - Rq - Rj exceeds the cap cannot contribute.
     """
-    centre = np.sqrt(_squared(queries.pivots, data.pivots))
+    centre = np.sqrt(_apart(queries.pivots, data.pivots))
     slack = queries.radius[:, None] + data.radius[None, :]
     upper, lower = centre + slack, np.maximum(centre - slack, 0.0)
     if ward:
@@ -213,37 +232,63 @@ def meet(queries: Blocks, data: Blocks, cells: np.ndarray, kernel: Kernel, schem
 # ---- kernels ------------------------------------------------------------------------
 
 
-def _select(qids: np.ndarray, ids: np.ndarray, distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, data) positions of the k smallest distances per query, ties by id; a point
-    is no neighbour of itself. ``ids`` are sorted."""
-    distance = np.where(qids[:, None] == ids[None, :], np.inf, distance)
+def _select(qids: np.ndarray, ids: np.ndarray, distance: np.ndarray, k: int, itself: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(query, data) positions of the k smallest distances per query, ties by id. With
+    ``itself`` the ids name the same rows, and a row is no neighbour of itself. ``ids`` are
+    sorted."""
+    if itself:
+        distance = np.where(qids[:, None] == ids[None, :], np.inf, distance)
     kk = min(k, distance.shape[1])
     cut = np.partition(distance, kk - 1, axis=1)[:, kk - 1 : kk]
     r, c = np.nonzero((distance <= cut) & np.isfinite(distance))
-    order = np.lexsort((c, distance[r, c], r))
-    r, c = r[order], c[order]
-    first = np.searchsorted(r, np.arange(len(qids)))
-    keep = np.arange(len(r)) - first[r] < kk
-    return r[keep], c[keep]
-
-
-def nearest_kernel(k: int) -> Kernel:
+    r, c, _ = _first(r, c, distance[r, c], len(qids), kk)
+    return r, c
+
+
+def _first(r: np.ndarray, c: np.ndarray, distance: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, ...]:
+    """The first k (row, column, distance) of every row by distance, ties by column."""
+    order = np.lexsort((c, distance, r))
+    r, c, distance = r[order], c[order], distance[order]
+    first = np.searchsorted(r, np.arange(rows))
+    keep = np.arange(len(r)) - first[r] < k
+    return r[keep], c[keep], distance[keep]
+
+
+def _nearest(qids, qx, ids, x, k: int, itself: bool, scale=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, data, distance) of the k nearest. The product form only narrows the choice:
+    whatever lies within its rounding of the k-th is compared by differences."""
+    d, slack = _squared(qx, x), _rounding(qx, x)[:, None]
+    if scale is not None:
+        d, slack = d * scale, slack * scale.max(axis=1, keepdims=True)
+    if itself:
+        d[qids[:, None] == ids[None, :]] = np.inf
+    kk = min(k, d.shape[1])
+    cut = np.partition(d, kk - 1, axis=1)[:, kk - 1 : kk]
+    r, c = np.nonzero((d <= cut + 2 * slack) & np.isfinite(d))
+    exact = np.empty(len(r))
+    for lo in range(0, len(r), 1 << 16):
+        i, j = r[lo : lo + (1 << 16)], c[lo : lo + (1 << 16)]
+        exact[lo : lo + (1 << 16)] = ((qx[i] - x[j]) ** 2).sum(1) * (1.0 if scale is None else scale[i, j])
+    r, c, distance = _first(r, c, exact, len(qids), kk)
+    return r, c, np.sqrt(distance)
+
+
+def nearest_kernel(k: int, itself: bool = True) -> Kernel:
     def kernel(qids, qx, qw, ids, x, w, labels):
-        r, c = _select(qids, ids, _squared(qx, x), k)
-        exact = np.sqrt(((qx[r] - x[c]) ** 2).sum(1))
-        return {"id": qids[r], "neighbour": ids[c], "distance": exact}
+        r, c, distance = _nearest(qids, qx, ids, x, k, itself)
+        return {"id": qids[r], "neighbour": ids[c], "distance": distance}
 
     return kernel
 
 
 def ward_kernel(qids, qx, qw, ids, x, w, labels):
     """Nearest cluster in terms of Ward's criterion, centroids and sizes given."""
-    r, c = _select(qids, ids, _squared(qx, x) * (2.0 * qw[:, None] * w[None, :] / (qw[:, None] + w[None, :])), 1)
-    exact = np.sqrt(((qx[r] - x[c]) ** 2).sum(1) * 2.0 * qw[r] * w[c] / (qw[r] + w[c]))
-    return {"id": qids[r], "neighbour": ids[c], "distance": exact}
+    scale = 2.0 * qw[:, None] * w[None, :] / (qw[:, None] + w[None, :])
+    r, c, distance = _nearest(qids, qx, ids, x, 1, True, scale)
+    return {"id": qids[r], "neighbour": ids[c], "distance": distance}
 
 
-def gower_kernel(k: int, ranges: Sequence[float | None]) -> Kernel:
+def gower_kernel(k: int, ranges: Sequence[float | None], itself: bool = True) -> Kernel:
     """Mean over the columns both rows have: range-scaled difference for numbers (a range
     is given), mismatch for codes (no range)."""
 
@@ -258,7 +303,7 @@ def gower_kernel(k: int, ranges: Sequence[float | None]) -> Kernel:
             used += both
         with np.errstate(divide="ignore", invalid="ignore"):
             distance = np.where(used > 0, total / used, np.inf)
-        r, c = _select(qids, ids, distance, k)
+        r, c = _select(qids, ids, distance, k, itself)
         return {"id": qids[r], "neighbour": ids[c], "distance": distance[r, c]}
 
     return kernel
@@ -274,6 +319,9 @@ def cluster_sums_kernel(qids, qx, qw, ids, x, w, labels):
         for c in np.unique(here[~np.isnan(here)]):
             found.append((method, int(c)))
             hot.append((here == c) * w)
+    if not found:  # no row of the block is clustered
+        none = np.zeros(0, np.int32)
+        return {"id": qids[:0], "method": none, "cluster": none, "total": np.zeros(0)}
     weights = np.array(hot).T
     sums = np.zeros((len(qx), len(found)))
     for lo in range(0, len(qx), 512):

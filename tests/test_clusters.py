@@ -62,6 +62,60 @@ def test_gower_with_missing_values(spark):
     assert got[3] == (2, 0.0)
 
 
+def _gower_pairs(rows, others, k):
+    """(key, neighbours by distance and key) in plain Python; ``others`` None: the rows themselves."""
+    data = rows if others is None else others
+    spans = [max(v) - min(v) for v in [[r[1] for r in data if r[1] is not None]]]
+    found = {}
+    for a in rows:
+        near = []
+        for b in data:
+            if others is None and a[0] == b[0]:
+                continue
+            parts = []
+            if a[1] is not None and b[1] is not None:
+                parts.append(abs(a[1] - b[1]) / spans[0])
+            if a[2] is not None and b[2] is not None:
+                parts.append(float(a[2] != b[2]))
+            if parts:
+                near.append((round(sum(parts) / len(parts), 9), b[0]))
+        found[a[0]] = sorted(near)[:k]
+    return found
+
+
+def test_gower_with_equal_rows_and_foreign_keys(spark):
+    rng = np.random.default_rng(8)
+    def some(n):
+        return [
+            (i + 1, None if rng.random() < 0.1 else float(rng.integers(0, 5)), None if rng.random() < 0.1 else "abc"[rng.integers(0, 3)]) for i in range(n)
+        ]
+
+    rows, new = [*some(60), *[(i + 100, 2.0, "a") for i in range(40)], (500, None, None), (501, None, None)], some(25)
+    kind = "k long, v double, c string"
+    df, asked = spark.createDataFrame(rows, kind), spark.createDataFrame(new, kind)  # the keys overlap
+    for queries, truth in ((None, _gower_pairs(rows, None, 3)), (asked, _gower_pairs(new, rows, 3))):
+        got = {}
+        for r in neighbors.gower_nearest(df, "k", ["v"], ["c"], 3, queries).orderBy("k", "rank").collect():
+            got.setdefault(r["k"], []).append((round(r["distance"], 9), r["neighbour"]))
+        assert got == {k: v for k, v in truth.items() if v}
+
+
+@pytest.mark.parametrize("away", [0.0, 1e7])
+def test_knn_far_from_the_origin(spark, away):
+    x = np.random.default_rng(9).random((300, 2)) + away
+    got = neighbors.knn(frame(spark, x), "k", ["x", "y"], 2).toPandas().sort_values(["k", "rank"])
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    assert np.array_equal(got.neighbour.to_numpy().reshape(-1, 2), np.argsort(d, axis=1, kind="stable")[:, :2])
+
+
+def test_silhouette_without_labels_in_a_block(spark):
+    x = np.vstack([np.random.default_rng(1).normal(c, 0.2, (60, 2)) for c in (0, 9, 200)])
+    df = frame(spark, x).withColumn("m", F.when(F.col("k") < 120, (F.col("k") / 60).cast("int") + 1).otherwise(F.lit(0)))
+    got = consistency.consistency(df, "k", ["x", "y"], "m", noise="drop").first()
+    assert got["avg_silwidth"] > 0.9
+
+
 def test_hopkins_separates_uniform_from_clustered(spark, blobs):
     rng = np.random.default_rng(2)
     flat = frame(spark, rng.random((240, 2)))
