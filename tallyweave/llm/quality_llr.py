@@ -14,6 +14,8 @@ are kept; those named like an output are replaced.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,44 +101,37 @@ def plain_counts(docs: DataFrame, text: str) -> DataFrame:
 
 def bucket_ratios(
     docs: DataFrame, text: str, trusted: DataFrame, key: str, buckets: int = BUCKETS, smoothing: float = SMOOTHING
-) -> DataFrame:
-    """(_bucket, _ratio): log p_trusted - log p_raw of every bucket that occurs in ``docs``.
+) -> list[float]:
+    """log p_trusted - log p_raw of every bucket; 0 for buckets that do not occur.
 
-    ``trusted`` has the keys of the trusted documents. Counting is combined before the shuffle,
-    so at most ``buckets`` rows leave a task.
+    ``trusted`` has the keys of the trusted documents. It grows with the documents, so it is
+    joined by a shuffle at every size. Counting is combined before its shuffle: at most
+    ``buckets`` rows leave a task, and as many reach the driver.
     """
     good = trusted.select(F.col(f"`{key}`").alias("_good")).where(F.col("_good").isNotNull()).distinct()
     marked = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")).join(
-        good, F.col("_key") == F.col("_good"), "left"
+        good.hint("merge"), F.col("_key") == F.col("_good"), "left"
     )
     counts = (
         _with_words(marked.select(F.col("_good").isNotNull().cast("long").alias("_is_good"), "_text"), "_text")
         .select("_is_good", F.explode(_ngrams(F.col("_words"), buckets)).alias("_bucket"))
         .groupBy("_bucket")
-        .agg(F.count(F.lit(1)).alias("_raw"), F.sum("_is_good").alias("_target"))
-    )
-    totals = counts.agg(F.sum("_raw").alias("raw"), F.sum("_target").alias("target"))
-    sums = totals.first()
-    raw, target = sums["raw"] or 0, sums["target"] or 0
-    log_ratio = F.log((F.col("_target") + smoothing) / F.lit(target + smoothing * buckets)) - F.log(
-        (F.col("_raw") + smoothing) / F.lit(raw + smoothing * buckets)
+        .agg(F.count(F.lit(1)).alias("raw"), F.sum("_is_good").alias("target"))
+        .collect()
     )
-    return counts.select("_bucket", (log_ratio if target else F.lit(0.0)).alias("_ratio"))
-
-
-def _ratio_list(ratios: DataFrame, buckets: int) -> Column:
-    """The table of ratios as one constant array, ``buckets`` numbers long."""
-    values = ["0"] * buckets
-    for row in ratios.collect():  # at most ``buckets`` rows
-        values[row["_bucket"]] = f"{row['_ratio']:.6g}"
-    return F.split(F.lit(",".join(values)), ",").cast("array<float>")
+    raw, target = sum(r["raw"] for r in counts), sum(r["target"] for r in counts)
+    ratios = [0.0] * buckets
+    for r in counts if target else []:
+        ratios[r["_bucket"]] = math.log((r["target"] + smoothing) / (target + smoothing * buckets)) - math.log(
+            (r["raw"] + smoothing) / (raw + smoothing * buckets)
+        )
+    return ratios
 
 
 def judge_quality(
     docs: DataFrame,
-    ratios: DataFrame,
+    ratios: list[float],
     text: str = "text",
-    buckets: int = BUCKETS,
     floor: float = FLOOR,
 ) -> DataFrame:
     """``docs`` with the plain counts, the score and the verdict; nothing is shuffled."""
@@ -144,7 +139,8 @@ def judge_quality(
     # the columns travel in a struct, so that theirs and the working names cannot clash
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     counted = plain_counts(rows.withColumn("_text", F.col("_doc").getField(text)), "_text")
-    table = _ratio_list(ratios, buckets)
+    buckets = len(ratios)
+    table = F.split(F.lit(",".join(f"{x:.6g}" for x in ratios)), ",").cast("array<float>")  # one constant of the plan
     words = F.col("_words")
 
     def both(w: Column, i: Column) -> Column:
