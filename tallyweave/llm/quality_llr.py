@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tallyweave.llm.common import SPACE, WORD, words_of
 
 BUCKETS = 1 << 16  # also bounds what reaches the driver and goes with the plan: 65,536 numbers
-SMOOTHING = 1.0
+SMOOTHING = 5.0
 FLOOR = -0.12
 
 OUTPUTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept"]
@@ -104,6 +104,9 @@ def bucket_ratios(
 ) -> list[float]:
     """log p_trusted - log p_raw of every bucket; 0 for buckets that do not occur.
 
+    Both counts are taken at the size of the trusted text and raised by ``smoothing``, so that
+    a bucket says little while few trusted occurrences are to be expected in it.
+
     ``trusted`` has the keys of the trusted documents. It grows with the documents, so it is
     joined by a shuffle at every size. Counting is combined before its shuffle: at most
     ``buckets`` rows leave a task, and as many reach the driver.
@@ -122,9 +125,8 @@ def bucket_ratios(
     raw, target = sum(r["raw"] for r in counts), sum(r["target"] for r in counts)
     ratios = [0.0] * buckets
     for r in counts if target else []:
-        ratios[r["_bucket"]] = math.log((r["target"] + smoothing) / (target + smoothing * buckets)) - math.log(
-            (r["raw"] + smoothing) / (raw + smoothing * buckets)
-        )
+        expected = r["raw"] * target / raw
+        ratios[r["_bucket"]] = math.log((r["target"] + smoothing) / (expected + smoothing))
     return ratios
 
 
@@ -157,3 +159,9 @@ def judge_quality(
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= floor))
         .select(*[F.col("_doc").getField(c).alias(c) for c in kept], *OUTPUTS)
     )
+
+
+def kept_rows(judged: DataFrame) -> DataFrame:
+    """The rows that passed. The row number only keeps the optimizer from writing the verdict out
+    in full for the filter, which would work out every shared step many times over."""
+    return judged.withColumn("_at", F.monotonically_increasing_id()).where("kept AND _at >= 0").drop("_at")

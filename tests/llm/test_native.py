@@ -124,7 +124,7 @@ def test_ratio_score(spark, docs):
         if r["doc_id"] in good:
             target.update(per[r["doc_id"]])
     n, t = sum(raw.values()), sum(target.values())
-    ratio = {b: math.log((target[b] + 1) / (t + buckets)) - math.log((raw[b] + 1) / (n + buckets)) for b in raw}
+    ratio = {b: math.log((target[b] + 5) / (raw[b] * t / n + 5)) for b in raw}
     got = judge_quality(docs.select("doc_id", "text"), bucket_ratios(docs, "text", trusted, "doc_id", buckets), floor=-0.01)
     for r in got.collect():
         want = sum(ratio[b] for b in per[r["doc_id"]]) / max(1, len(per[r["doc_id"]]))
