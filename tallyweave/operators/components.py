@@ -41,7 +41,7 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         small = large.join(lowest, "u").select(
             F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         )
-        edges = cut_lineage(small.select("e.u", "e.v").where("u <> v").distinct())
+        edges = cut_lineage(small.select("e.u", "e.v").where("u <> v").distinct(), replaces=edges)
         after = _signature(edges)
         if after == before:
             break

@@ -92,10 +92,14 @@ def pair_sums_by(df: DataFrame, columns: Sequence[str], by: str | None = None) -
         seen: dict[object, np.ndarray] = {}
         rows: dict[object, int] = {}
         for batch in batches:
-            groups = np.array(batch.column("__g").to_pylist(), dtype=object)
             x = _matrix(batch, columns, shift)
-            for g in set(groups.tolist()):
-                part = x[groups == g]
+            if by is None:
+                parts = [(0, x)] if len(x) else []
+            else:
+                coded = batch.column("__g").dictionary_encode("encode")
+                places = coded.indices.to_numpy(zero_copy_only=False)
+                parts = [(g, x[places == i]) for i, g in enumerate(coded.dictionary.to_pylist())]
+            for g, part in parts:
                 seen[g] = seen.get(g, 0.0) + _sums(part)
                 rows[g] = rows.get(g, 0) + len(part)
         if seen:

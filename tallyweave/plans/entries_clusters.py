@@ -88,14 +88,46 @@ def _(spark, sf_dir):
     "SELECT s_suppkey, c_custkey AS neighbour, round(distance, 6) AS distance FROM n WHERE rank = 1",
 )
 def _(spark, sf_dir):
-    """Nearest known row for every new one, over mixed columns. Keys of the two tables
-    overlap, so the new ones are moved below zero for the search."""
+    """Nearest known row for every new one, over mixed columns; the keys of the tables overlap."""
     known = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
     new = table(spark, sf_dir, "supplier").select(
-        (-F.col("s_suppkey")).alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal"), F.col("s_nationkey").alias("c_nationkey")
+        F.col("s_suppkey").alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal"), F.col("s_nationkey").alias("c_nationkey")
     )
     found = neighbors.gower_nearest(known, "c_custkey", ["c_acctbal"], ["c_nationkey"], queries=new)
-    return rounded(found.select((-F.col("c_custkey")).alias("s_suppkey"), "neighbour", "distance"))
+    return rounded(found.select(F.col("c_custkey").alias("s_suppkey"), "neighbour", "distance"))
+
+
+@query(
+    "gower_equal_rows",
+    "WITH m AS (SELECT max(s) - min(s) AS r FROM (SELECT p_size // 10 AS s FROM part)), "
+    "p AS (SELECT p_partkey, p_size // 10 AS s, p_brand FROM part), "
+    "d AS (SELECT a.p_partkey, b.p_partkey AS neighbour, (abs(a.s - b.s) / r + (a.p_brand <> b.p_brand)::INT) / 2 AS distance "
+    "FROM p a, p b, m WHERE a.p_partkey <> b.p_partkey), "
+    "r AS (SELECT *, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY distance, neighbour) AS INT) AS rank FROM d) "
+    "SELECT p_partkey, neighbour, round(distance, 6) AS distance, rank FROM r WHERE rank <= 3",
+)
+def _(spark, sf_dir):
+    """Nearest parts by size class and brand, of which many are equal."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.floor(F.col("p_size") / 10).alias("s"), "p_brand")
+    return rounded(neighbors.gower_nearest(parts, "p_partkey", ["s"], ["p_brand"], 3))
+
+
+@query(
+    "knn_far_from_origin",
+    "WITH p AS (SELECT s_suppkey, s_acctbal / 1000 + 1e7 AS x, (s_suppkey * 7919 % 1009) / 100 + 1e7 AS y FROM supplier), "
+    "d AS (SELECT a.s_suppkey, b.s_suppkey AS neighbour, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance FROM p a, p b "
+    "WHERE a.s_suppkey <> b.s_suppkey), "
+    "r AS (SELECT *, CAST(row_number() OVER (PARTITION BY s_suppkey ORDER BY distance, neighbour) AS INT) AS rank FROM d) "
+    "SELECT s_suppkey, neighbour, round(distance, 6) AS distance, rank FROM r WHERE rank <= 3",
+)
+def _(spark, sf_dir):
+    """Neighbours of points whose distances are small against their coordinates."""
+    points = table(spark, sf_dir, "supplier").select(
+        "s_suppkey",
+        (F.col("s_acctbal") / 1000 + 1e7).alias("x"),
+        (F.col("s_suppkey") * 7919 % 1009 / 100 + 1e7).alias("y"),
+    )
+    return rounded(neighbors.knn(points, "s_suppkey", ["x", "y"], 3))
 
 
 @query("hopkins")
@@ -265,6 +297,16 @@ def _(spark, sf_dir):
     return dbscan.dbscan(plane(spark, sf_dir), "c_custkey", ["x", "y"], _EPS, _MIN)
 
 
+@query(
+    "ward_total",
+    f"WITH {_PLANE} SELECT round(count(*) * (var_pop(x) + var_pop(y)), 3) AS within_ss, count(DISTINCT (x, y)) - 1 AS merges FROM pts",
+)
+def _(spark, sf_dir):
+    """All merges together add the whole sum of squares: half the sum of the squared heights."""
+    tree = ward.ward_tree(plane(spark, sf_dir), "c_custkey", ["x", "y"])
+    return rounded(tree.agg((F.sum(F.col("height") * F.col("height")) / 2).alias("within_ss"), F.count(F.lit(1)).alias("merges")), 3)
+
+
 @query("ward_labels")
 def _(spark, sf_dir):
     points = moments.standardise(plane(spark, sf_dir), ["x", "y"])

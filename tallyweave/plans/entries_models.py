@@ -38,23 +38,38 @@ def _(spark, sf_dir):
 
 @query(
     "mice_observed_kept",
-    f"WITH {S.INCLUDED} SELECT volgnummer, "
-    + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FEATURES)
-    + " FROM included WHERE "
-    + " AND ".join(f"{c} IS NOT NULL" for c in FEATURES),
+    f"WITH {S.INCLUDED} "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS variable, count(*) AS n_rows, count({c}) AS n_observed, CAST(coalesce(sum({c}), 0) AS DOUBLE) AS sum_observed, "
+        f"count({c}) AS n_kept, count(*) AS n_filled FROM included WHERE {' OR '.join(f'{d} IS NULL' for d in FEATURES)}"
+        for c in FEATURES
+    ),
 )
 def _(spark, sf_dir):
-    """Rows without a gap come out of the chains as they went in."""
+    """In the rows that go through the chains every observed answer stays, every gap is filled."""
     features = cut_lineage(feature_table(demo_survey(spark, sf_dir)))
     done = impute.impute(features, KEY, FEATURES, 1, chains=1, min_correlation=0.35).completed(1)
-    return done.join(features.na.drop("any").select(KEY), KEY, "left_semi")
+    gaps = features.where(F.greatest(*[F.col(c).isNull() for c in FEATURES]))
+    both = gaps.join(done.select(KEY, *[F.col(c).alias(f"done_{c}") for c in FEATURES]), KEY)
+    entry = lambda c: F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("before"), F.col(f"done_{c}").alias("after"))
+    return (
+        both.select(F.explode(F.array(*[entry(c) for c in FEATURES])).alias("e"))
+        .groupBy("e.variable")
+        .agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count("e.before").alias("n_observed"),
+            F.coalesce(F.sum(F.when(F.col("e.before").isNotNull(), F.col("e.after"))), F.lit(0.0)).alias("sum_observed"),
+            F.count_if(F.col("e.before") == F.col("e.after")).alias("n_kept"),
+            F.count("e.after").alias("n_filled"),
+        )
+    )
 
 
 @query("mice_trace")
 def _(spark, sf_dir):
     """Mean and spread of the imputed values over two iterations and one more."""
-    features = cut_lineage(feature_table(demo_survey(spark, sf_dir)).select(KEY, *FEATURES[:8]))
-    first = impute.impute(features, KEY, FEATURES[:8], 2, chains=2, min_correlation=0.1)
+    features = cut_lineage(feature_table(demo_survey(spark, sf_dir)))
+    first = impute.impute(features, KEY, FEATURES, 2, chains=2, min_correlation=0.35)
     return impute.continue_chains(first, 1).trace
 
 
@@ -106,6 +121,20 @@ def _(spark, sf_dir):
     return rounded(values.groupBy("cluster").agg(F.sum("eigenvalue").alias("total")))
 
 
+_TWO = ["l_quantity", "l_extendedprice"]
+
+
+@query(
+    "pca_two_columns",
+    "WITH c AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r FROM lineitem) "
+    "SELECT 1 AS component, round(1 + r, 6) AS eigenvalue, round((1 + r) / 2, 6) AS share FROM c "
+    "UNION ALL SELECT 2, round(1 - r, 6), round((1 - r) / 2, 6) FROM c",
+)
+def _(spark, sf_dir):
+    """The components of two standardised columns have the eigenvalues 1 + |r| and 1 - |r|."""
+    return rounded(classify.component_table(table(spark, sf_dir, "lineitem"), _TWO).select("component", "eigenvalue", "share"))
+
+
 @query("pca_scree")
 def _(spark, sf_dir):
     return classify.component_table(demo_survey(spark, sf_dir), TRAINING)
@@ -129,19 +158,16 @@ def _(spark, sf_dir):
     return embed.umap(vectors(spark, sf_dir), "vec_id", EMBEDDED, iterations=60, steps_per_round=20)
 
 
-@query(
-    "affinity_rows",
-    "SELECT vec_id AS id, 1.0::DOUBLE AS total FROM embeddings",
-)
+@query("affinity_rows", "SELECT vec_id AS id, round(ln(10), 3) AS entropy FROM embeddings")
 def _(spark, sf_dir):
-    """Neighbour probabilities of every point add up to one."""
+    """The neighbour probabilities of every point have the entropy of the perplexity."""
     from tallyweave.operators.blocks import as_points, distinct_points
     from tallyweave.operators.neighbors import nearest_points
 
     merged = cut_lineage(distinct_points(vectors(spark, sf_dir), "vec_id", EMBEDDED))
     found = nearest_points(as_points(merged, EMBEDDED), 30)
     given = embed.affinities(found, merged, perplexity=10)
-    return rounded(given.groupBy("id").agg(F.sum("p").alias("total")))
+    return rounded(given.groupBy("id").agg((-F.sum(F.when(F.col("p") > 0, F.col("p") * F.ln("p")))).alias("entropy")), 3)
 
 
 # ---- classification -----------------------------------------------------------------

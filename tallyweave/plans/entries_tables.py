@@ -356,7 +356,7 @@ def _(spark, sf_dir):
     return profile.null_counts(feature_table(demo_survey(spark, sf_dir)), FEATURES)
 
 
-_PROFILED = ["GGEES203", "GGEEB201", "MMIKB201", "LFT0109", "score_zw"]
+_PROFILED = ["GGEES203", "GGEEB201", "MMIKB201", "LFT0109", "score_zw", *FEATURES]
 
 
 @query(
@@ -706,7 +706,7 @@ def _(spark, sf_dir):
     return rounded(moments.mean_vector(table(spark, sf_dir, "lineitem"), _LINE))
 
 
-_MISSED = [f"{c}" for c in FEATURES[:10]]
+_MISSED = FEATURES
 
 
 _PREDICTORS = (

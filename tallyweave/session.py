@@ -79,15 +79,30 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the written table.
 
     Loops keep short plans and a lost executor costs one step rather than the whole
     history. A table rather than a checkpoint, because a table is planned with its real
     size: a checkpoint keeps the size estimated for its old plan, and after a few rounds
     of joins those estimates make broadcasts impossible and their product astronomical.
+
+    ``replaces`` is an earlier result of this function that nobody reads any more; its
+    files go once the new ones are written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/steps-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    step = spark.read.schema(df.schema).parquet(path)
+    step._step_path = path
+    if replaces is not None:
+        drop_step(replaces)
+    return step
+
+
+def drop_step(step: DataFrame) -> None:
+    """Delete the files of a result of :func:`cut_lineage`."""
+    path = getattr(step, "_step_path", None)
+    if path is not None:
+        folder = step.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(step.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
