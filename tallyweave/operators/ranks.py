@@ -85,11 +85,29 @@ def ranked(
     df: DataFrame, value: str, ties: Sequence[str], by: Sequence[str] = (), buckets: int = BUCKETS
 ) -> DataFrame:
     """``df`` with a 0-based ``rank`` and the group size ``size``, ordered by ``value`` and
-    then by ``ties``, which together must be unique within a group."""
-    by = list(by)
-    rows = df.withColumns({"n": F.lit(1).cast("long"), "w": F.lit(0.0)})
-    placed = _prefixed(_bucketed(rows, by, value, buckets), by, value, list(ties), buckets)
-    return placed.withColumnsRenamed({"before_n": "rank", "total_n": "size"}).drop("n", "w", "before_w", "total_w")
+    then by ``ties``, which together must be unique within a group.
+
+    Values are counted first, which gives the rank of the first row of each. Rows of a value
+    that few rows have follow by a window over the value. A hot value, with more than a
+    ``buckets``-th of the rows, is cut into buckets by its first tie column, so its rows are
+    not sorted in one task either. Rows without a value are left out.
+    """
+    by, ties = list(by), list(ties)
+    hot = (F.col("n") > 1) & (F.col("n") * buckets > F.col("total_n"))
+    totals = ordered_totals(df, value, by, buckets=buckets).select(
+        *by, value, F.col("before_n").alias("__first"), F.col("total_n").alias("size"), hot.alias("__hot")
+    )
+    placed = join_null_safe(df, totals, [*by, value])
+    if not ties:
+        return placed.withColumn("rank", F.col("__first")).drop("__first", "__hot")
+    group = [*by, value]
+    inside = Window.partitionBy(*group).orderBy(*ties)
+    cold = placed.where("NOT __hot").withColumn("rank", F.col("__first") + F.row_number().over(inside) - 1)
+    packed = placed.where("__hot").select(*group, *[t for t in ties if t not in group], F.struct("*").alias("__row"))
+    tied = packed.withColumns({"n": F.lit(1).cast("long"), "w": F.lit(0.0)})
+    inner = _prefixed(_bucketed(tied, group, ties[0], buckets), group, ties[0], ties[1:], buckets)
+    ranks = inner.select("__row.*", (F.col("__row.__first") + F.col("before_n")).alias("rank"))
+    return cold.unionByName(ranks).drop("__first", "__hot")
 
 
 def _name(probability: float) -> str:

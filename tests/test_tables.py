@@ -182,3 +182,17 @@ def test_median_fill(gappy):
     got = missing.median_fill(df, ["b", "c"]).orderBy("k").toPandas()
     assert np.allclose(got.b, pdf.b.fillna(pdf.b.median()))
     assert np.allclose(got.c, pdf.c.fillna(pdf.c.median()))
+
+
+def test_ranks_with_a_third_of_equal_values(spark):
+    """Ranks are those of one sort, and no task sorts more than its share of a hot value."""
+    from tallyweave.operators.ranks import BUCKETS, _bucketed, ranked
+
+    rows = [(i, 5.0 if i % 3 == 0 else float(i % 997)) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "k long, v double")
+    got = {r["k"]: (r["rank"], r["size"]) for r in ranked(df, "v", ["k"]).collect()}
+    order = sorted(rows, key=lambda r: (r[1], r[0]))
+    assert got == {k: (i, 30_000) for i, (k, _) in enumerate(order)}
+    hot = df.where("v = 5").withColumns({"n": F.lit(1), "w": F.lit(0.0)})
+    sizes = [r["count"] for r in _bucketed(hot, ["v"], "k", BUCKETS).groupBy("__bucket").count().collect()]
+    assert max(sizes) < 4 * sum(sizes) / BUCKETS
