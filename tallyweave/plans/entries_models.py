@@ -224,6 +224,18 @@ def _(spark, sf_dir):
     return rounded(classify.overall_statistics(_confused(spark, sf_dir), interval=False))
 
 
+@query(
+    "accuracy_over_base_rate",
+    f"WITH {_CONFUSED}, t AS (SELECT sum(n) AS n, sum(CASE WHEN truth = predicted THEN n ELSE 0 END) AS hits FROM c), "
+    "a AS (SELECT max(a) AS a FROM (SELECT sum(n) AS a FROM c GROUP BY truth)), "
+    "k AS (SELECT CAST(n AS DOUBLE) AS n, a / n AS p, CAST(unnest(generate_series(CAST(hits AS BIGINT), CAST(n AS BIGINT))) AS DOUBLE) AS k FROM t, a) "
+    "SELECT round(sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p))), 6) AS accuracy_p_value FROM k",
+)
+def _(spark, sf_dir):
+    """Probability of as many hits by always naming the commonest class."""
+    return rounded(classify.overall_statistics(_confused(spark, sf_dir)).select("accuracy_p_value"))
+
+
 @query(
     "class_stats",
     f"WITH {_CONFUSED}, k AS (SELECT truth AS class FROM c UNION SELECT predicted FROM c), "
