@@ -20,6 +20,7 @@ not read.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,51 +38,82 @@ BINS = 64
 DEPTH = 6
 END_ID = 2
 BLOCK_TOKENS = 16_000_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000  # words a task keeps before it starts anew
 
-_CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_SEPARATORS = re.compile(r"[\x1c-\x1f]")  # white space to str.split, but not to the tokenizer
+_MARK = "\x01"  # stands between words that are encoded together
+_ENDINGS = ".,;:!?"
 
 
 # ---------------------------------------------------------------- tokens
-class _WordIds(dict):
-    """Ids of white-space separated words as bytes. The tokenizer works word by word and drops
-    white space, so a text's ids are those of its words one after the other."""
+@lru_cache(maxsize=1)
+def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+    from tokenizers import Tokenizer
 
-    def __init__(self, path: str):
-        super().__init__()
-        from tokenizers import Tokenizer
+    return Tokenizer.from_file(path)
 
-        self.tokenizer = Tokenizer.from_file(path)
 
-    def of(self, text: str | None) -> bytes:
-        words = _CHUNK.findall(text or "")
-        new = set(words).difference(self)
-        if new:
-            if len(self) + len(new) > CACHED_WORDS:
-                self.clear()
-                new = set(words)
-            listed = list(new)
-            for at in range(0, len(listed), 4096):
-                some = listed[at : at + 4096]
-                for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                    self[word] = np.array(found.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.__getitem__, words))
+class _WordIds(dict):
+    """Ids of white-space separated words as little-endian 32-bit bytes.
 
+    The tokenizer works word by word and drops white space, so a text's ids are those of its
+    words one after the other. Words are encoded many at a time with a mark between them; a word
+    that ends in punctuation is put together from its two parts, as the tokenizer cuts there.
+    """
 
-@lru_cache(maxsize=1)
-def _word_ids(path: str) -> _WordIds:
-    return _WordIds(path)
+    def __init__(self, path: str):
+        super().__init__()
+        self.tokenizer = _tokenizer(path)
+        found = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = found[0] if len(found) == 1 else None
+
+    def _encode(self, words: list[str]) -> None:
+        plain = [w for w in words if self.mark is not None and _MARK not in w]
+        for at in range(0, len(plain), 500):
+            some = plain[at : at + 500]
+            joined = self.tokenizer.encode_batch_fast([f" {_MARK} ".join(some)], add_special_tokens=False)
+            ids = np.array(joined[0].ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.mark).tolist()
+            if len(ends) != len(some) - 1:
+                raise ValueError("the tokenizer does not keep words apart")
+            whole = ids.tobytes()
+            for word, a, b in zip(some, [0, *(e + 1 for e in ends)], [*ends, len(ids)]):
+                self[word] = whole[4 * a : 4 * b]
+        if len(plain) < len(words):
+            for word in set(words).difference(plain):
+                self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of some texts."""
+        split = [(_WORD.findall(t) if _SEPARATORS.search(t) else t.split()) if t else [] for t in texts]
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        missing = [w for w in set().union(*split) if w not in self]
+        if missing:
+            # (word, what is encoded, its ending): capital letters of ASCII words make no difference
+            parts = []
+            for w in missing:
+                low = w.lower() if w.isascii() else w
+                cut = low[-1] in _ENDINGS and low[-2:-1].isalnum()
+                parts.append((w, low[:-1], low[-1]) if cut else (w, low, ""))
+            needed = {stem for _, stem, _ in parts}.union(_ENDINGS)
+            self._encode([w for w in needed if w not in self])
+            for w, stem, ending in parts:
+                self[w] = self[stem] + self[ending] if ending else self[stem]
+        return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
 def tokenise(docs: DataFrame, key: str, text: str, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, ids, doc_tokens): the little-endian 32-bit ids of every row, the end id last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = _word_ids(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        words, end = _WordIds(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 cut = batch.slice(at, 256)
-                ids = [words.of(t) + end for t in cut.column(1).to_pylist()]
+                ids = [i + end for i in words.of(cut.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [cut.column(0), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())], names=["doc_id", "ids", "doc_tokens"]
                 )
