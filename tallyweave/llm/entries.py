@@ -136,7 +136,18 @@ def op4_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
-@query("op1_warc_bundles")
+_RECORDS = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, url, octet_length(encode(body)) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+g AS (SELECT payload_digest AS shared, max(page_id) AS top FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, url, payload_bytes, payload_digest,
+  CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM d LEFT JOIN g ON payload_bytes >= 1000 AND payload_digest = shared
+"""
+
+
+@query("op1_warc_bundles", _RECORDS)
 def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages archived in the shared folder and read back from there."""
     ship_package(spark)
