@@ -36,7 +36,7 @@ PIECE = 1000
 BLOCK = 4096
 LEVEL = 6
 MIN_MATCH = 3
-MARGIN = 0.02
+MARGIN = 0.01
 MAX_LANGUAGES = 512
 UNKNOWN = "und"
 
