@@ -23,6 +23,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,6 +45,11 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")  # white space to str.split, but not to the tokenizer
 _MARK = "\x01"  # stands between words that are encoded together
 _ENDINGS = ".,;:!?"
+_LATIN_END = "\u0250"  # letters below are single code points in every normal form NFC
+# how byte-level tokenizers write the bytes that are no printable letters of their own
+_BYTE_LETTERS = {
+    b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))
+}
 
 
 # ---------------------------------------------------------------- tokens
@@ -58,19 +64,32 @@ def _tokenizer(path: str):
 class _WordIds(dict):
     """Ids of white-space separated words as little-endian 32-bit bytes.
 
-    The tokenizer works word by word and drops white space, so a text's ids are those of its
-    words one after the other. Words are encoded many at a time with a mark between them; a word
-    that ends in punctuation is put together from its two parts, as the tokenizer cuts there.
+    A tokenizer that works word by word and drops white space gives a text the ids of its words
+    one after the other; whether it does is tried out, else whole texts are encoded. A word that
+    ends in punctuation is put together from its two parts, as the tokenizer cuts there. Plain
+    Latin words go to the tokenizer's model at once, which skips its normalisation; that, too, is
+    tried out first. All others are encoded many at a time with a mark between them.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = _tokenizer(path)
-        found = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
-        self.mark = found[0] if len(found) == 1 else None
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.mark = ids(_MARK)[0] if len(ids(_MARK)) == 1 else None
+        probe = ["Onze", "words", "d'été,", "x1.", "ñandú", "ABC's"]
+        apart = [i for w in probe for i in ids(w)]
+        self.by_words = ids(" ".join(probe)) == ids("\n" + " \t".join(probe) + "  ") == apart and self.mark is not None
+        self.by_words = self.by_words and ids("Été") == ids("été") and ids("word.") == ids("word") + ids(".")
+        self.model = self.tokenizer.model
+        self.direct = self.by_words and all(self._direct(w) == np.array(ids(w), "<u4").tobytes() for w in ("onze", "été", "ñandú", "x", "ß"))
+
+    def _direct(self, word: str) -> bytes:
+        mapped = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _encode(self, words: list[str]) -> None:
-        plain = [w for w in words if self.mark is not None and _MARK not in w]
+        """Encode words together, with a mark between them."""
+        plain = [w for w in words if _MARK not in w]
         for at in range(0, len(plain), 500):
             some = plain[at : at + 500]
             joined = self.tokenizer.encode_batch_fast([f" {_MARK} ".join(some)], add_special_tokens=False)
@@ -81,27 +100,49 @@ class _WordIds(dict):
             whole = ids.tobytes()
             for word, a, b in zip(some, [0, *(e + 1 for e in ends)], [*ends, len(ids)]):
                 self[word] = whole[4 * a : 4 * b]
-        if len(plain) < len(words):
-            for word in set(words).difference(plain):
-                self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        for word in set(words).difference(plain):
+            self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _stem_ids(self, stem: str) -> bytes | None:
+        """Ids of a plain Latin word in any case, None for any other."""
+        if not self.direct or not stem.isalpha():
+            return None
+        if not stem.isascii() and (max(stem) >= _LATIN_END or "\u0130" in stem):
+            return None
+        low = stem.lower()
+        ids = self.get(low)
+        if ids is None:
+            ids = self[low] = self._direct(low)
+        return ids
+
+    def _learn(self, words: list[str]) -> None:
+        left, endings = [], {e: self.get(e) for e in _ENDINGS}
+        if None in endings.values():
+            self._encode(list(_ENDINGS))
+            endings = {e: self[e] for e in _ENDINGS}
+        for word in words:
+            ids = self._stem_ids(word)
+            if ids is None and word[-1] in endings:
+                ids = self._stem_ids(word[:-1])
+                if ids is not None:
+                    ids += endings[word[-1]]
+            if ids is None:
+                left.append(word)
+            else:
+                self[word] = ids
+        self._encode(left)
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         """The ids of some texts."""
+        if not self.by_words:
+            found = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+            return [np.array(f.ids, dtype="<u4").tobytes() for f in found]
         split = [(_WORD.findall(t) if _SEPARATORS.search(t) else t.split()) if t else [] for t in texts]
         if len(self) > CACHED_WORDS:
             self.clear()
         missing = [w for w in set().union(*split) if w not in self]
         if missing:
-            # (word, what is encoded, its ending): capital letters of ASCII words make no difference
-            parts = []
-            for w in missing:
-                low = w.lower() if w.isascii() else w
-                cut = low[-1] in _ENDINGS and low[-2:-1].isalnum()
-                parts.append((w, low[:-1], low[-1]) if cut else (w, low, ""))
-            needed = {stem for _, stem, _ in parts}.union(_ENDINGS)
-            self._encode([w for w in needed if w not in self])
-            for w, stem, ending in parts:
-                self[w] = self[stem] + self[ending] if ending else self[stem]
+            self._learn(missing)
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 

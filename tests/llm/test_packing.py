@@ -66,6 +66,23 @@ def test_documents_and_odd_rows(spark, docs, monkeypatch, block):
     assert check(got, ids) < 0.03
 
 
+def test_words_of_every_kind():
+    """Ids put together from words are those of the whole text, for this and other tokenizers."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = [
+        "It's <|endoftext|> don't x\x1cy Å é ΣΑΣ. 中文 12", "a\x01b \x01 \x01. c", "...", "they're, it's. he'd! 'tis 'S", "a\xa0b\u2003c\x85d é. x́, ½. ²! ́.",
+        "İI. ß, ﬁ. Ŀ ŉ ĳ Ǆ ſ K Ω", "5. 5, ५. Ⅷ; _. -, a_. a-.", "ÉTÉ Été. ñÑ, ÿŸ! Ȁȁ", "", None, " \n ", "x" * 3000, "e\u0301a e\u0301.", "º ª. µ, Á",
+    ]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        tok, words = Tokenizer.from_file(path), m._WordIds(path)
+        assert words.by_words == words.direct == (name == "word_bpe_49k.json")
+        for t in texts:
+            assert words.of([t])[0] == np.array(tok.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes(), t
+
+
 def test_empty_table(spark, docs):
     assert m.pack(docs.limit(0), tokenizer_path()).count() == 0
     assert "ids" not in m.pack(docs.limit(0), tokenizer_path(), with_ids=False).columns
