@@ -41,10 +41,11 @@ def passages(text: Column) -> Column:
 def _sums(passage: Column) -> list[Column]:
     """Aggregates over passages: count, 4 wide sums, 32 sums that hold two lanes each."""
     wide = []
+    hashed = lambda *salt: F.when(passage.isNotNull(), F.xxhash64(passage, *salt))
     for salt in range(WIDE // 2):
-        h = F.xxhash64(passage, F.lit(salt + 1))
+        h = hashed(F.lit(salt + 1))
         wide += [F.sum(F.shiftrightunsigned(h, 32)), F.sum(h.bitwiseAND(F.lit(LOW)))]
-    h = F.xxhash64(passage)
+    h = hashed()
     pair = F.lit(0x0000000100000001)
     return [F.count(passage)] + wide + [F.sum(F.shiftrightunsigned(h, j).bitwiseAND(pair)) for j in range(LANES // 2)]
 
