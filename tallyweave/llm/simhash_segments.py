@@ -53,6 +53,21 @@ _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _EVEN = 0x5555555555555555
 
 
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """The XXH64 hashes of all shingles of ``size`` words; of all words if there are fewer."""
+    words = _WORDS.findall((text or "").encode("utf-8", "replace").lower())  # bytes.lower: A-Z only
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    size = min(size, len(words))
+    starts, ends = starts[: len(words) - size + 1], ends[size - 1 :]
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
+
+
 def fingerprint_of(text: str | None) -> int:
     """The unsigned 64-bit fingerprint of one text."""
     words = _WORDS.findall((text or "").encode("utf-8", "replace").lower())  # bytes.lower: A-Z only
