@@ -15,8 +15,9 @@ text alone.
 Defined results: a null text, and one without a letter, is ``und`` with score 0. Without any
 learned language everything is ``und``; with one, the rival is the plain encoding without a
 dictionary. Ties go to the language with more training text, then to the smaller name, and
-have score 0. A language is learned only if a piece of it is drawn, which is sure while it has
-less than twice ``DICTIONARY_BYTES`` of text. Repeated rows are each classified; extra columns stay, except those named like
+have score 0. Every language with eight bytes of text or more is learned: the pieces with the
+smallest hashes are drawn up to a power of two that fills its dictionary, or all there are. Copies
+of a piece count once in that too. Repeated rows are each classified; extra columns stay, except those named like
 an output. A table with more than ``MAX_LANGUAGES`` languages is refused.
 """
 
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 
 DICTIONARY_BYTES = 112 << 10
 PIECE = 1000
+HASH_BITS = 62
 BLOCK = 4096
 LEVEL = 6
 MIN_MATCH = 3
@@ -48,9 +50,10 @@ def learn_dictionaries(
 ) -> list[tuple[str, bytes]]:
     """[(language, dictionary)], the language with most training text first.
 
-    Two passes: one adds up the text of every language, one draws pieces at the rate that
-    fills each dictionary about twice over and cuts it to size. What reaches the driver is
-    bounded by the dictionaries, not by the corpus.
+    Three passes: one adds up the text of every language, one the distinct pieces by the
+    highest bit of their hash, and one draws the pieces below the power of two that fills each
+    dictionary and cuts it to size. What reaches the driver is bounded by the dictionaries, not
+    by the corpus.
     """
     rows = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where(
         "lang IS NOT NULL AND text IS NOT NULL"
@@ -62,13 +65,22 @@ def learn_dictionaries(
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not totals:
         return []
-    rates = F.create_map(*[x for r in totals for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * dictionary_bytes / max(1, r["chars"]))))])
-    pieces = (
-        rows.select("lang", F.explode(F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("piece"))
-        .withColumn("hash", F.xxhash64("piece"))
-        .where(F.pmod("hash", F.lit(1 << 30)) < F.element_at(rates, F.col("lang")) * (1 << 30))
-        .distinct()
+    hashed = rows.select("lang", F.explode(F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("piece")).withColumn(
+        "hash", F.pmod(F.xxhash64("piece"), F.lit(1 << HASH_BITS))
     )
+    level = F.length(F.bin("hash"))
+    distinct = hashed.groupBy("lang", "hash").agg(F.max(F.char_length("piece")).alias("chars"))
+    sums = distinct.groupBy("lang", level.alias("level")).agg(F.sum("chars").alias("chars")).collect()  # HASH_BITS rows a language
+    highest: dict[str, int] = {}
+    filled: dict[str, int] = {}
+    for r in sorted(sums, key=lambda r: r["level"]):
+        if filled.get(r["lang"], 0) < dictionary_bytes:  # a character has a byte at least
+            filled[r["lang"]] = filled.get(r["lang"], 0) + r["chars"]
+            highest[r["lang"]] = r["level"]
+    if not highest:
+        return []
+    levels = F.create_map(*[F.lit(x) for pair in highest.items() for x in pair])
+    pieces = hashed.where(level <= F.element_at(levels, F.col("lang"))).distinct()
     drawn: dict[str, list[tuple[int, str]]] = {}
     for r in pieces.collect():
         drawn.setdefault(r["lang"], []).append((r["hash"], r["piece"]))

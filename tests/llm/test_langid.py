@@ -46,3 +46,14 @@ def test_learning_from_odd_rows(spark):
     assert [n for n, _ in learned] == ["en", "fr"] and len(learned[0][1]) == 1500
     assert m.learn_dictionaries(frame.limit(0)) == []
     assert learned == m.learn_dictionaries(frame.repartition(3), dictionary_bytes=1500)
+
+
+def test_copies_do_not_empty_a_dictionary(spark):
+    """Thirty texts of a thousand characters, each a thousand times: rates taken from all of it draw nothing."""
+    texts = [(" ".join(f"t{i}w{j * j}" for j in range(200))[:1000], lang) for lang in ("aa", "bb", "cc", "dd") for i in range(30)]
+    frame = spark.createDataFrame([(lang + t[2:], lang) for t, lang in texts], "text string, lang string")
+    many = frame.crossJoin(spark.range(1000)).drop("id")
+    once = m.learn_dictionaries(frame, dictionary_bytes=1500)
+    assert [(n, len(c)) for n, c in once] == [(n, 1500) for n in ("aa", "bb", "cc", "dd")]
+    assert m.learn_dictionaries(many, dictionary_bytes=1500) == once
+    assert [n for n, _ in m.learn_dictionaries(many, dictionary_bytes=8)] == ["aa", "bb", "cc", "dd"]
