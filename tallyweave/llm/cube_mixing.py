@@ -9,16 +9,20 @@ The draw is a cube flight. Every row starts at its probability; three rows at a
 along a direction in the null space of the constraints (number of documents, number of words),
 until one of them is 0 or 1 and the next row takes its place. So both totals stay exact while
 rows are decided. A task works through its rows as a stream and holds at most three undecided
-rows per source; the two left are dealt out again to fewer tasks, flown again, and so on until they
-fit into one small task. There the two or three that are left per source land on the corner
-that misses the word total least.
+rows per source; the two left are dealt out by source. Where a source could still have more than
+``LANDING_ROWS`` of them it is first cut into parts, twenty times fewer each round. Once all of a
+source meet in one task, sorted by source, the two that remain of it land on the corner that misses
+the word total least. The number of rounds follows from the number of tasks alone.
+
+Sources are rows as well: they are ranked by name over sorted partitions, the level of the targets
+is found by a few sums, and the targets are joined to the rows. Their number is not bounded.
 
 Randomness is replaced by the order of a hash of key and size, so reruns agree; the number of
 tasks in the flight follows from the number of rows alone.
 
 Defined results: a null text has size 0; null is a source of its own, ordered last; a source
 without words has target 0. Rows of size 0 take 0 words. Repeated rows are separate rows. An
-empty table gives no rows. More than ``MAX_SOURCES`` sources are refused. Extra columns stay, except those named like an output.
+empty table gives no rows. Extra columns stay, except those named like an output.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ MOST = 3
 CYCLE = (5, 2, 1)
 ROWS_PER_TASK = 200_000
 LANDING_ROWS = 20_000
-MAX_SOURCES = 100_000  # bounds the broadcast plan and what a task of the flight holds
+FEWER = 20  # parts of a source that meet in one of the next round
 EPS = 1e-9
 
 
@@ -59,20 +63,39 @@ def shares(sizes: list[int], weights: list[float], most: float = MOST) -> list[f
     return targets
 
 
-def source_targets(
-    sized: DataFrame, cycle: tuple[float, ...] = CYCLE, most: float = MOST
-) -> list[tuple[str | None, int, float]]:
-    """[(source, source_size, target)] with the weights of ``cycle`` in the order of the names.
+def source_targets(sized: DataFrame, cycle: tuple[float, ...] = CYCLE, most: float = MOST) -> DataFrame:
+    """(name, source_size, target, grp) with the weights of ``cycle`` in the order of the names,
+    null last; ``grp`` is the place in that order.
 
-    One row per source reaches the driver, already added up.
+    Only sums and one number per partition of the sorted names reach the driver.
     """
-    found = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    order = sorted(found, key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
-    sizes = [r["n"] for r in order]
-    targets = shares(sizes, [cycle[i % len(cycle)] for i in range(len(order))], most)
-    return [(r["source"], n, t) for r, n, t in zip(order, sizes, targets)]
+    found = sized.groupBy(F.col("source").alias("name")).agg(F.sum("size").alias("source_size"))
+    placed = cut_lineage(found.orderBy(F.col("name").asc_nulls_last()).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_at", 33)
+    before, at = [], 0
+    for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():
+        before += [F.lit(r["part"]), F.lit(at)]
+        at += r["count"]
+    if not before:
+        return placed.select("name", "source_size", F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("grp"))
+    grp = (F.element_at(F.create_map(*before), part) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), (F.pmod(F.col("grp"), F.lit(len(cycle))) + 1).cast("int"))
+    weighed = placed.withColumn("grp", grp).withColumn("_w", weight)
+    # the targets are least(rate * weight, most * size); the rate rises until they add up, as in shares()
+    rate, full_before = 0.0, -1
+    while True:
+        full = F.lit(rate) * F.col("_w") > F.lit(float(most)) * F.col("source_size")
+        sums = weighed.where("source_size > 0").agg(
+            F.sum("source_size").alias("all"),
+            F.coalesce(F.sum(F.when(full, F.col("source_size"))), F.lit(0)).alias("full"),
+            F.coalesce(F.sum(F.when(~full, F.col("_w"))), F.lit(0.0)).alias("w"),
+            F.count(F.when(full, 1)).alias("n"),
+        ).first()
+        if not sums["w"] or sums["n"] == full_before:  # nothing is open, or nothing more became full
+            break
+        rate, full_before = (sums["all"] - most * sums["full"]) / sums["w"], sums["n"]
+    target = F.when(F.col("source_size") > 0, F.least(F.lit(rate) * F.col("_w"), F.lit(float(most)) * F.col("source_size"))).otherwise(F.lit(0.0))
+    return cut_lineage(weighed.select("name", "source_size", target.alias("target"), "grp"), replaces=placed)
 
 
 def _move(units: list[list[float]]) -> None:
@@ -117,6 +140,33 @@ def _flight(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(left, columns=["id", "grp", "size", "dice", "p"])
 
 
+def _flight_by_part(land: bool):
+    """The flight over rows sorted by (grp, part): what is left of a part is handed on, or lands."""
+
+    def fly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, units = None, []
+
+        def left() -> list[tuple]:
+            settled = _land([{"id": u[3], "size": u[4], "p": u[0]} for u in units]) if land else {}
+            return [(u[3], now[0], u[4], u[2], settled.get(u[3], u[0])) for u in units]
+
+        for batch in batches:
+            done: list[tuple] = []
+            for id_, group, size, dice, p, part in zip(batch["id"], batch["grp"], batch["size"], batch["dice"], batch["p"], batch["part"]):
+                if (group, part) != now:
+                    done += left()
+                    now, units = (group, part), []
+                units.append([p, float(size), dice, id_, size])
+                if len(units) == 3:
+                    _move(units)
+                    done += [(u[3], group, u[4], u[2], float(round(u[0]))) for u in units if _settled(u[0])]
+                    units = [u for u in units if not _settled(u[0])]
+            yield pd.DataFrame(done, columns=["id", "grp", "size", "dice", "p"])
+        yield pd.DataFrame(left(), columns=["id", "grp", "size", "dice", "p"])
+
+    return fly
+
+
 def _land(rows: list) -> dict[int, float]:
     """The corner for the last rows of one source that misses the word total least."""
     wanted = sum(r["p"] * r["size"] for r in rows)
@@ -130,34 +180,29 @@ def _land(rows: list) -> dict[int, float]:
     return {r["id"]: float(t) for r, t in zip(rows, best[1])}
 
 
-_UNITS = "id long, grp int, size long, dice double, p double"
+_UNITS = "id long, grp long, size long, dice double, p double"
 
 
 def balanced_draw(units: DataFrame) -> DataFrame:
     """(id, taken 0 or 1) of rows (id, grp, size, dice, p), balanced within every ``grp``."""
     tasks = max(1, -(-units.count() // ROWS_PER_TASK))
     order = [F.xxhash64("dice"), "size", "id"]  # the order must tell nothing of the dice
-    level = units.repartition(tasks, "dice").sortWithinPartitions(*order)
-    decided, last_task = [], False
+    flown = cut_lineage(units.repartition(tasks, "dice").sortWithinPartitions(*order).mapInPandas(_flight, _UNITS))
+    open_ = f"p >= {EPS} AND p <= {1 - EPS}"
+    decided, parts = [flown.where(f"NOT ({open_})")], tasks
     while True:
-        flown = cut_lineage(level.mapInPandas(_flight, _UNITS))
-        decided.append(flown.where(f"p < {EPS} OR p > {1 - EPS}").select("id", F.round("p").cast("int").alias("taken")))
-        rest = flown.where(f"p >= {EPS} AND p <= {1 - EPS}")
-        if last_task:
+        # at most two rows of a source are left in every task or part
+        parts = -(-parts // FEWER) if 2 * parts > LANDING_ROWS else 1
+        part = F.pmod(F.xxhash64("dice", "id"), F.lit(parts)).cast("int")
+        level = flown.where(open_).withColumn("part", part).repartition("grp", "part").sortWithinPartitions("grp", "part", *order)
+        flown = cut_lineage(level.mapInPandas(_flight_by_part(parts == 1), _UNITS))
+        if parts == 1:
             break
-        # two rows per source and task are left; twenty times fewer tasks see them again
-        last_task = rest.count() <= LANDING_ROWS
-        tasks = max(1, tasks // 20)
-        level = (rest.repartition(1) if last_task else rest.repartition(tasks, "dice")).sortWithinPartitions(*order)
-    last: dict[int, list] = {}
-    for r in sorted(rest.collect(), key=lambda r: (r["grp"], r["id"])):  # two per source at most
-        last.setdefault(r["grp"], []).append(r)
-    landed = [(i, int(t)) for rows in last.values() for i, t in _land(rows).items()]
-    spark = units.sparkSession
-    drawn = spark.createDataFrame(landed, "id long, taken int")
+        decided.append(flown.where(f"NOT ({open_})"))
+    drawn = flown
     for d in decided:
         drawn = drawn.unionByName(d)
-    return drawn
+    return drawn.select("id", F.round("p").cast("int").alias("taken"))
 
 
 OUTPUTS = ["size", "source_size", "target", "copies", "taken"]
@@ -183,14 +228,11 @@ def mix(
         )
     )
     rows = stored.select("id", "source", "size", "key")
-    plan = docs.sparkSession.createDataFrame(
-        [(*r, i) for i, r in enumerate(source_targets(rows, cycle))],
-        "name string, source_size long, target double, grp int",
-    )
+    plan = source_targets(rows, cycle)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     base = F.floor(ratio + EPS)
     planned = plan.withColumns({"base": base.cast("int"), "p": F.greatest(F.lit(0.0), ratio - base)})
-    joined = rows.join(F.broadcast(planned), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    joined = rows.join(planned, F.col("source").eqNullSafe(F.col("name"))).drop("name")
     # 53 bits of a hash of the row as a number from 0 to 1
     dice = F.shiftrightunsigned(F.xxhash64("key", "size"), 11) / F.lit(float(1 << 53))
     drawn = balanced_draw(joined.select("id", "grp", "size", dice.alias("dice"), "p"))

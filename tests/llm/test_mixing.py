@@ -80,3 +80,25 @@ def test_flight_keeps_both_totals():
     assert abs((out["p"].astype(float) * out["size"].astype(float)).sum() - 0.3 * units["size"].sum()) < 1e-3
     assert sum(0 < p < 1 for p in out["p"]) <= 2
     assert re.fullmatch("[01.]+", "".join(str(int(p)) for p in out["p"] if p in (0, 1)))
+
+
+def test_more_sources_than_landing_rows(spark, monkeypatch):
+    """Every source keeps an undecided row or two, more in all than fit into one small task."""
+    monkeypatch.setattr(m, "LANDING_ROWS", 60)
+    rng = random.Random(9)
+    given = [(i, "w " * rng.randint(1, 40), "host%d" % rng.randrange(700)) for i in range(3000)]
+    given += [(5000 + i, "w " * 2000, "big") for i in range(20)] + [(6000, "a", None), (6001, "", "host~empty")]
+    frame = spark.createDataFrame(given, "doc_id long, text string, source string")
+    rows = m.mix(frame, keep=["doc_id", "source"]).collect()
+    assert len(rows) == len(given)
+    taken = check(rows, given)
+    assert len(taken) == len({s for _, _, s in given}) > 600 and sum(len(rs) for rs in taken.values()) == len(given)
+
+
+def test_sources_beyond_the_former_limit(spark):
+    frame = spark.range(240_000).selectExpr("id doc_id", "repeat('w ', int(1 + id % 7)) text", "concat('host', id % 120000) source")
+    got = m.mix(frame, keep=["doc_id", "source"])
+    sums = got.agg(F.count("*").alias("n"), F.countDistinct("source").alias("s"), F.sum("size").alias("all"), F.max(F.abs(F.col("copies") * F.col("source_size") - F.col("target")) / F.col("source_size")).alias("off")).first()
+    assert (sums["n"], sums["s"]) == (240_000, 120_000) and sums["off"] < 1 + 1e-9
+    targets = got.select("source", "target").distinct().agg(F.sum("target")).first()[0]
+    assert abs(targets - sums["all"]) < 1e-6 * sums["all"]
