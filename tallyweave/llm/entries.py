@@ -12,20 +12,23 @@ from tallyweave.llm.common import held_fold, table
 from tallyweave.llm.compression_langid import classify, learn_dictionaries
 from tallyweave.llm.cube_mixing import mix
 from tallyweave.llm.license_scan import scan
+from tallyweave.llm.lyndon_runs import detect_runs
+from tallyweave.llm.merkle_manifest import prove, tampered_leaf, verify_rows
 from tallyweave.llm.multiset_hash import fingerprint_edits
 from tallyweave.llm.quality_llr import bucket_ratios, judge_quality
 from tallyweave.llm.nnls_packing import pack
 from tallyweave.llm.recurrent_lm import score_documents
+from tallyweave.llm.repair_shards import read_shards, write_shards
 from tallyweave.llm.simhash_segments import near_duplicates
 from tallyweave.llm.url_filter import Rule, judge_urls
 from tallyweave.llm.warc_bundles import read_bundles, write_bundles
 from tallyweave.session import shared_dir, ship_package
 
-def tokenizer_path() -> str:
-    """Where the vocabulary of the packing query lies; a parameter of the operator."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where a vocabulary lies; a parameter of the operators."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +179,88 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = F.when(F.col("doc_id") % n == 0, licence).otherwise(path)
     first = F.when(F.col("doc_id").isNotNull(), path)
     return scan(docs.select("doc_id", first.alias("path"), "text"), keep=["doc_id"])
+
+
+_PROOFS = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, source, n_chars, text, CAST(doc_id AS VARCHAR) AS k FROM documents
+), crc AS (
+  SELECT doc_id, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::BIGINT)),
+    lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)::BIGINT[]), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS inverse
+  FROM d
+), parts AS (
+  SELECT doc_id, lang, n_chars,
+    coalesce(strlen(k) || ':' || k, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM d
+), leaves AS (
+  SELECT p.doc_id, coalesce('=' || lang, '') AS tree,
+    sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+    CASE WHEN xor(inverse, 4294967295) % 7 = 0
+      THEN sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) END AS changed,
+    row_number() OVER (PARTITION BY lang ORDER BY p.doc_id) - 1 AS place, count(*) OVER (PARTITION BY lang) AS total
+  FROM parts p JOIN crc c USING (doc_id)
+), nodes AS (
+  SELECT tree, 0 AS level, place, leaf AS h, total FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, place // 2, sha256(string_agg(h, '' ORDER BY place)), (any_value(total) + 1) // 2
+  FROM nodes WHERE total > 1 GROUP BY tree, level, place // 2
+), subroots AS (
+  SELECT tree, h AS subroot, level AS height, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS total FROM nodes WHERE total = 1
+), top AS (
+  SELECT 0 AS level, place, subroot AS h, total FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 2, sha256(string_agg(h, '' ORDER BY place)), (any_value(total) + 1) // 2
+  FROM top WHERE total > 1 GROUP BY level, place // 2
+), whole AS (
+  SELECT tree, level, place, h, total FROM nodes WHERE total > 1
+  UNION ALL
+  SELECT s.tree, s.height + t.level, t.place, t.h, t.total FROM top t CROSS JOIN subroots s WHERE t.total > 1
+), placed AS (
+  SELECT l.*, s.subroot, s.height, s.place AS tree_place FROM leaves l JOIN subroots s USING (tree)
+), steps AS (
+  SELECT p.doc_id, w.level, w.h AS other, w.place AS other_place FROM placed p JOIN whole w
+    ON w.tree = p.tree AND w.place = CASE WHEN w.level < p.height THEN xor(p.place >> w.level, 1) ELSE xor(p.tree_place >> (w.level - p.height), 1) END
+), proofs AS (
+  SELECT doc_id, sha256(string_agg(other, '' ORDER BY level)) AS proof_sha256 FROM steps GROUP BY doc_id
+), deep AS (SELECT max(height) AS height, (SELECT max(level) FROM top) AS more FROM subroots),
+folded AS (
+  SELECT p.doc_id, 0 AS level, coalesce(changed, leaf) AS h, p.height + (SELECT more FROM deep) AS last FROM placed p
+  UNION ALL
+  SELECT f.doc_id, f.level + 1, sha256(CASE WHEN s.other IS NULL THEN f.h WHEN s.other_place % 2 = 0 THEN s.other || f.h ELSE f.h || s.other END), f.last
+  FROM folded f LEFT JOIN steps s ON s.doc_id = f.doc_id AND s.level = f.level WHERE f.level < f.last
+)
+SELECT p.doc_id, p.leaf, p.subroot, r.h AS root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM placed p JOIN folded f ON f.doc_id = p.doc_id AND f.level = f.last LEFT JOIN proofs q ON q.doc_id = p.doc_id
+CROSS JOIN (SELECT h FROM top WHERE total = 1) r
+"""
+
+LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+@query("op11_merkle_manifest", _PROOFS)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, one tree per language; every seventh or so is checked with n_chars changed."""
+    ship_package(spark)
+    docs = table(spark, sf_dir, "documents")
+    changed = {"changed": tampered_leaf("doc_id", LEAF_FIELDS, "n_chars", 7)}
+    proved = prove(docs, "doc_id", "lang", LEAF_FIELDS, changed)
+    checked = verify_rows(proved, F.coalesce("changed", "leaf"))
+    return checked.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op12_lyndon_runs")
+def op12_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents, with a repetition planted into every tenth."""
+    ship_package(spark)
+    return detect_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
+@query("op13_repair_shards")
+def op13_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written in compressed shards and read back from them."""
+    ship_package(spark)
+    docs = table(spark, sf_dir, "documents")
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    write_shards(docs, path, tokenizer_path("byte_bpe_50k.json"))
+    return read_shards(spark.read.parquet(path), docs.schema["doc_id"].dataType.simpleString())
