@@ -13,20 +13,21 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from codecs import charmap_decode
 from functools import lru_cache
 
 import numpy as np
 
-CACHED_CHUNKS = 800_000
+CACHED_CHUNKS = 1_200_000
 
 _CUT = re.compile(r"(?<=\S)(?=\s\S)")
 _PLAIN = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]?)")
 _PROBE = "Onze words, d'été\nñandú  x1.\t\nABC's  12　a b\n c \n\nd 3.5 e\t"
 _PLAIN_PROBE = ["Onze", "words,", "été", "\nÑandú", "\nx!", "z", "ſ?", "Retion."]
-# how byte-level tokenizers write the bytes that are no printable letters of their own
-_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
-
-_SPACE = chr(_LETTERS[32])
+# how byte-level tokenizers write bytes: printable letters stand for themselves
+_KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_OTHERS = [b for b in range(256) if b not in _KEPT]
+_LETTERS = "".join(chr(256 + _OTHERS.index(b) if b in _OTHERS else b) for b in range(256))
 
 
 class _Open(Exception):
@@ -45,7 +46,7 @@ class ChunkIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.literal: dict[str, bytes] = {}
         self.marks = dict(zip(["", *".,;:!?\n"], self._encode(["", *".,;:!?\n"])))
@@ -59,11 +60,8 @@ class ChunkIds(dict):
         return [np.array(f.ids, dtype="<u4").tobytes() for f in found]
 
     def _word(self, piece: str) -> bytes:
-        if piece.isascii():
-            mapped = piece.replace(" ", _SPACE)
-        else:
-            mapped = piece.encode("utf-8").decode("latin-1").translate(_LETTERS)
-        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        found = self.tokenize(charmap_decode(piece.encode("utf-8"), "strict", _LETTERS)[0])
+        return array("I", [t.id for t in found]).tobytes()
 
     def _plain(self, parts: re.Match) -> bytes:
         feed, word, mark = parts.groups()
@@ -75,6 +73,9 @@ class ChunkIds(dict):
         return stem + self.marks[mark] if mark else stem
 
     def __missing__(self, chunk: str) -> bytes:
+        if self.direct and chunk.isalpha() and (chunk.isascii() or max(chunk) <= "ɏ") and len(self) <= CACHED_CHUNKS:
+            ids = self[chunk] = self._word(" " + chunk)
+            return ids
         if not chunk.lstrip("\n") or chunk[-1].isspace() or chunk[chunk[0] == "\n"].isspace():
             raise _Open
         if len(self) > CACHED_CHUNKS:

@@ -3,7 +3,7 @@
 Rows are put in ascending key order by ranges and sorted inside each; every task encodes its texts
 and closes a shard once it holds ``SHARD_IDS`` ids. Inside a shard frequent pairs of symbols are
 replaced by new symbols until no pair occurs ``LEAST`` times: a round counts all pairs, takes those
-that occur at least a quarter as often as the most frequent one and gives every symbol one side, so
+that are at most ``SPREAD`` times rarer than the most frequent one and gives every symbol one side, so
 that no two chosen pairs overlap, and replaces them all at once. A symbol paired with itself is
 replaced from the left of each run. Pairs never span two documents.
 
@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm.chunk_ids import chunk_ids
 
-SHARD_IDS = 1 << 20
-LEAST = 128  # how often a pair must occur to become a rule
+SHARD_IDS = 1 << 18  # the arrays of a shard fit into a core's cache
+LEAST = 64  # how often a pair must occur to become a rule
+SPREAD = 64  # pairs this many times rarer than the most frequent one wait for a later round
 AT_ONCE = 1024  # rules made in a round
 END_ID = 0
 
@@ -68,7 +69,7 @@ def _frequent(left: np.ndarray, right: np.ndarray, valid: np.ndarray, least: int
         return []
     starts = np.flatnonzero(np.r_[True, packed[1:] != packed[:-1]])
     counts = np.diff(np.r_[starts, len(packed)])
-    chosen = np.flatnonzero(counts >= max(least, int(counts.max()) // 4))
+    chosen = np.flatnonzero(counts >= max(least, int(counts.max()) // SPREAD))
     chosen = chosen[np.argsort(-counts[chosen], kind="stable")]
     found = packed[starts[chosen]].astype(np.uint64)
     bits = np.uint64(bits)
@@ -272,7 +273,8 @@ def read_shards(shards: DataFrame, key_type: str, key: str = "doc_id", with_ids:
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task that wrote
     offsets = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    placed = shards.join(offsets, "part").select((F.col("offset") + F.col("start")).alias("start"), "payload")
+    # a row per task is far smaller than a shard, which would move otherwise
+    placed = shards.join(F.broadcast(offsets), "part").select((F.col("offset") + F.col("start")).alias("start"), "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
