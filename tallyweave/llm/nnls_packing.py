@@ -4,7 +4,8 @@ A document's ids are cut into whole windows and one remaining piece. The histogr
 pieces, in ``BINS`` steps of the window, is all the plan needs: every combination of up to
 ``DEPTH`` steps that fills a window is enumerated once, and non-negative least squares finds
 how often each should be repeated so that the histogram is used up. Every task packs the pieces
-of its own partition: it takes its share of the repeats, rounded, as far as its pieces go.
+of its own partition: it takes its share of the repeats, rounded over all its blocks, as far as
+its pieces go.
 Pieces are a little longer or shorter than their step; what a window lacks is padding, and what
 runs over is cut off and joins the pieces that no combination took. Those are packed greedily:
 longest first, cut where a window is full. What is left at the end of a task is cut into powers
@@ -21,9 +22,9 @@ not read.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,17 +40,14 @@ BINS = 64
 DEPTH = 6
 END_ID = 2
 BLOCK_TOKENS = 16_000_000
-CACHED_WORDS = 1_000_000  # words a task keeps before it starts anew
+CACHED_WORDS = 1_000_000  # words a worker keeps
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_SEPARATORS = re.compile(r"[\x1c-\x1f]")  # white space to str.split, but not to the tokenizer
-_MARK = "\x01"  # stands between words that are encoded together
 _ENDINGS = ".,;:!?"
 _LATIN_END = "\u0250"  # letters below are single code points in every normal form NFC
-# how byte-level tokenizers write the bytes that are no printable letters of their own
-_BYTE_LETTERS = {
-    b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))
-}
+# how byte-level tokenizers write bytes: printable letters stand for themselves
+_KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_OTHERS = [b for b in range(256) if b not in _KEPT]
+_LETTERS = "".join(chr(256 + _OTHERS.index(b) if b in _OTHERS else b) for b in range(256))
 
 
 # ---------------------------------------------------------------- tokens
@@ -68,40 +66,25 @@ class _WordIds(dict):
     one after the other; whether it does is tried out, else whole texts are encoded. A word that
     ends in punctuation is put together from its two parts, as the tokenizer cuts there. Plain
     Latin words go to the tokenizer's model at once, which skips its normalisation; that, too, is
-    tried out first. All others are encoded many at a time with a mark between them.
+    tried out first.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = _tokenizer(path)
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
-        self.mark = ids(_MARK)[0] if len(ids(_MARK)) == 1 else None
         probe = ["Onze", "words", "d'été,", "x1.", "ñandú", "ABC's"]
         apart = [i for w in probe for i in ids(w)]
-        self.by_words = ids(" ".join(probe)) == ids("\n" + " \t".join(probe) + "  ") == apart and self.mark is not None
+        self.by_words = ids(" ".join(probe)) == ids("\n" + " \t".join(probe) + "  ") == apart
         self.by_words = self.by_words and ids("Été") == ids("été") and ids("word.") == ids("word") + ids(".")
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
+        self.stems: dict[str, bytes] = {}
+        self.endings = {e: np.array(ids(e), dtype="<u4").tobytes() for e in _ENDINGS}
         self.direct = self.by_words and all(self._direct(w) == np.array(ids(w), "<u4").tobytes() for w in ("onze", "été", "ñandú", "x", "ß"))
 
     def _direct(self, word: str) -> bytes:
-        mapped = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(_BYTE_LETTERS)
-        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-
-    def _encode(self, words: list[str]) -> None:
-        """Encode words together, with a mark between them."""
-        plain = [w for w in words if _MARK not in w]
-        for at in range(0, len(plain), 500):
-            some = plain[at : at + 500]
-            joined = self.tokenizer.encode_batch_fast([f" {_MARK} ".join(some)], add_special_tokens=False)
-            ids = np.array(joined[0].ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.mark).tolist()
-            if len(ends) != len(some) - 1:
-                raise ValueError("the tokenizer does not keep words apart")
-            whole = ids.tobytes()
-            for word, a, b in zip(some, [0, *(e + 1 for e in ends)], [*ends, len(ids)]):
-                self[word] = whole[4 * a : 4 * b]
-        for word in set(words).difference(plain):
-            self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        found = self.tokenize(charmap_decode(word.encode("utf-8"), "strict", _LETTERS)[0])
+        return array("I", [t.id for t in found]).tobytes()
 
     def _stem_ids(self, stem: str) -> bytes | None:
         """Ids of a plain Latin word in any case, None for any other."""
@@ -110,47 +93,48 @@ class _WordIds(dict):
         if not stem.isascii() and (max(stem) >= _LATIN_END or "\u0130" in stem):
             return None
         low = stem.lower()
-        ids = self.get(low)
+        ids = self.stems.get(low)
         if ids is None:
-            ids = self[low] = self._direct(low)
+            ids = self.stems[low] = self._direct(low)
         return ids
 
-    def _learn(self, words: list[str]) -> None:
-        left, endings = [], {e: self.get(e) for e in _ENDINGS}
-        if None in endings.values():
-            self._encode(list(_ENDINGS))
-            endings = {e: self[e] for e in _ENDINGS}
-        for word in words:
-            ids = self._stem_ids(word)
-            if ids is None and word[-1] in endings:
-                ids = self._stem_ids(word[:-1])
-                if ids is not None:
-                    ids += endings[word[-1]]
-            if ids is None:
-                left.append(word)
-            else:
-                self[word] = ids
-        self._encode(left)
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > CACHED_WORDS:
+            # the words seen first are the frequent ones: keep half of them
+            for w in list(self)[CACHED_WORDS // 2 :]:
+                del self[w]
+            self.stems.clear()
+        text = word.decode("utf-8")
+        ids = self._stem_ids(text)
+        if ids is None and text[-1] in self.endings:
+            ids = self._stem_ids(text[:-1])
+            if ids is not None:
+                ids += self.endings[text[-1]]
+        if ids is None:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self[word] = ids
+        return ids
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         """The ids of some texts."""
         if not self.by_words:
             found = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
             return [np.array(f.ids, dtype="<u4").tobytes() for f in found]
-        split = [(_WORD.findall(t) if _SEPARATORS.search(t) else t.split()) if t else [] for t in texts]
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        missing = [w for w in set().union(*split) if w not in self]
-        if missing:
-            self._learn(missing)
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        # bytes are split at the six ASCII white-space characters and nothing else
+        return [b"".join(map(self.__getitem__, t.encode("utf-8").split())) if t else b"" for t in texts]
+
+
+@lru_cache(maxsize=2)
+def _word_ids(path: str) -> _WordIds:
+    """The cache of this worker, kept from task to task."""
+    return _WordIds(path)
 
 
 def tokenise(docs: DataFrame, key: str, text: str, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, ids, doc_tokens): the little-endian 32-bit ids of every row, the end id last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = _WordIds(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        words, end = _word_ids(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 cut = batch.slice(at, 256)
@@ -254,8 +238,12 @@ def _powers(length: int) -> list[int]:
     return [1 << b for b in range(length.bit_length() - 1, -1, -1) if length >> b & 1]
 
 
-def pack_block(lengths: list[int], combos: np.ndarray, repeats: np.ndarray, share: float, first: int, window: int = WINDOW):
-    """[(document, start, length, sequence, offset)] and the next free sequence number."""
+def pack_block(lengths: list[int], combos: np.ndarray, repeats: np.ndarray, share: float, first: int, window: int = WINDOW, owed: np.ndarray | None = None):
+    """[(document, start, length, sequence, offset)] and the next free sequence number.
+
+    ``owed`` are the repeats that the blocks before came short of by rounding; it is brought up to date."""
+    owed = np.zeros(len(repeats)) if owed is None else owed
+    owed += repeats * share
     out = _Sequences(first)
     shelves: list[list[tuple[int, int, int]]] = [[] for _ in range(BINS + 1)]
     for doc, total in enumerate(lengths):
@@ -266,9 +254,9 @@ def pack_block(lengths: list[int], combos: np.ndarray, repeats: np.ndarray, shar
         if start < total:
             shelves[int(step_of(np.int64(total - start)))].append((doc, start, total - start))
     loose: list[tuple[int, int, int]] = []
-    for combo, times in zip(combos, repeats):
+    for which, combo in enumerate(combos):
         steps = np.flatnonzero(combo)
-        for _ in range(int(round(times * share))):
+        for _ in range(int(np.rint(owed[which]))):
             if any(len(shelves[s]) < combo[s] for s in steps):
                 break
             pieces = [shelves[s].pop() for s in steps[::-1] for _ in range(combo[s])]
@@ -281,6 +269,7 @@ def pack_block(lengths: list[int], combos: np.ndarray, repeats: np.ndarray, shar
                     loose.append((doc, start + part, length - part))
                 room -= part
             out.lay(laid)
+            owed[which] -= 1
     loose += [piece for shelf in shelves for piece in shelf]
     loose.sort(key=lambda p: (-p[2], p[0], p[1]))
     room, laid = window, []
@@ -337,12 +326,16 @@ def pack(
         task = TaskContext.get()
         sequence = (task.partitionId() if task else 0) << 40
 
+        # what rounding leaves goes on to the next block; where a task begins is drawn, so that many
+        # small tasks take their shares on average, too
+        owed = np.random.default_rng(sequence >> 40).uniform(-0.5, 0.5, len(repeats))
+
         def packed(block: list[pa.RecordBatch], sequence: int):
             whole = pa.Table.from_batches(block)
             ids, keys = whole.column("ids").to_pylist(), whole.column("doc_id")
             lengths = [len(i) // 4 for i in ids]
             share = sum(1 for n in lengths if n % WINDOW) / pieces
-            rows, following = pack_block(lengths, combos, repeats, share, sequence)
+            rows, following = pack_block(lengths, combos, repeats, share, sequence, owed=owed)
             return _as_batches(rows, ids, keys, lengths, with_ids), following
 
         block, held = [], 0

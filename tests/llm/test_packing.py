@@ -119,3 +119,17 @@ def test_padding_is_small_at_size():
         padded += 0 if n & (n - 1) == 0 else m.WINDOW - n
     assert total == sum(lengths) and padded / total < 0.02
     assert len(rows) < 2 * len(lengths) + total // m.WINDOW
+
+
+def test_small_blocks_follow_the_plan():
+    """Blocks of 50 pieces take as many combinations as one block of all."""
+    rng = np.random.default_rng(3)
+    lengths = [int(x) for x in rng.integers(200, 3500, 20_000)]
+    histogram = np.bincount(m.step_of(np.array(lengths)), minlength=m.BINS + 1).astype(float)
+    combos, repeats = m.plan_repeats(histogram)
+    owed, sequence, cut, whole = np.zeros(len(repeats)), 0, 0, m.pack_block(lengths, combos, repeats, 1.0, 0)[0]
+    for at in range(0, len(lengths), 50):
+        rows, sequence = m.pack_block(lengths[at : at + 50], combos, repeats, 50 / len(lengths), sequence, owed=owed)
+        cut += sum(r[1] > 0 for r in rows)
+    planned = repeats.sum() - np.abs(owed).sum()
+    assert planned > 0.3 * repeats.sum() and sum(r[1] > 0 for r in whole) < cut < len(lengths)
