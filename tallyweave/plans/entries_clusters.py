@@ -277,6 +277,26 @@ def _(spark, sf_dir):
     return kmedoids.kmedoids(points, "c_custkey", ["x", "y"], 9, max_iterations=5).assign(points).select("c_custkey", "cluster")
 
 
+@query(
+    "kmedoids_swaps",
+    f"WITH {_PLANE}, {_lloyd_sql(0)}, "
+    "cand AS (SELECT c_nationkey AS candidate, arg_min(c_acctbal, c_custkey) / 1000 AS x, c_nationkey / 3.0::DOUBLE AS y FROM customer GROUP BY c_nationkey), "
+    "d AS (SELECT c_custkey, cluster, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) AS d FROM pts, c0), "
+    "kept AS (SELECT a.c_custkey, a.cluster AS medoid, (SELECT count(*) FROM c0) AS k, min(b.d) AS d FROM d a JOIN d b USING (c_custkey) WHERE a.cluster <> b.cluster GROUP BY 1, 2), "
+    "now AS (SELECT sum(d) AS total FROM (SELECT min(d) AS d FROM d GROUP BY c_custkey)) "
+    "SELECT candidate, medoid, round(sum(least(kept.d, sqrt(pow(p.x - cand.x, 2) + pow(p.y - cand.y, 2)))) - any_value(total), 4) + 0.0 AS change "
+    "FROM kept JOIN pts p USING (c_custkey), cand, now GROUP BY 1, 2",
+)
+def _(spark, sf_dir):
+    """What it costs to put the first customer of a nation in the place of each medoid, over all customers."""
+    first = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min_by("c_acctbal", "c_custkey").alias("b")).orderBy("c_nationkey")
+    nations = first.select("c_nationkey", F.col("b") / 1000, F.col("c_nationkey") / 3.0).collect()  # a row per nation
+    candidates = np.array([[float(r[1]), float(r[2])] for r in nations])
+    changes = kmedoids.swap_changes(plane(spark, sf_dir), ["x", "y"], np.array(_START, float), candidates)
+    name = F.element_at(F.array(*[F.lit(r[0]) for r in nations]), F.col("candidate") + 1)
+    return rounded(changes.select(name.alias("candidate"), (F.col("medoid") + 1).alias("medoid"), "change"), 4)
+
+
 _EPS, _MIN = 0.35, 9
 
 

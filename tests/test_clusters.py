@@ -203,6 +203,46 @@ def test_medoids_are_exact(spark):
         assert np.allclose(found.points[c - 1], x[medoid])
 
 
+def brute_change(x, w, medoids, candidates):
+    cost = lambda m: (w * np.sqrt(((x[:, None] - m[None]) ** 2).sum(2)).min(1)).sum()
+    now, out = cost(medoids), {}
+    for c, p in enumerate(candidates):
+        for m in range(len(medoids)):
+            out[c, m] = cost(np.vstack([np.delete(medoids, m, 0), p])) - now
+    return out
+
+
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_changes_of_all_swaps(spark, k):
+    rng = np.random.default_rng(k)
+    x = rng.normal(size=(300, 2)).round(1)
+    df = frame(spark, x).withColumn("w", (F.col("k") % 3 + 1).cast("double")).repartition(5)
+    medoids, candidates = x[:k], np.vstack([x[50:57], x[:1]])
+    got = {(r["candidate"], r["medoid"]): r["change"] for r in kmedoids.swap_changes(df, ["x", "y"], medoids, candidates).collect()}
+    want = brute_change(x, np.arange(300) % 3 + 1.0, medoids, candidates)
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
+    best = kmedoids.best_swap(df, ["x", "y"], medoids, candidates)
+    assert best[2] == pytest.approx(min(want.values())) and want[best[:2]] == pytest.approx(best[2])
+    assert kmedoids.best_swap(df.limit(0), ["x", "y"], medoids, candidates) in (None, (0, 0, 0.0))
+
+
+def test_no_pivot_is_worth_a_swap_at_the_end(spark, monkeypatch):
+    """A start with two medoids in one group and none in another is left by a swap."""
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(c, 0.4, (70, 2)) for c in ([0, 0], [20, 0], [20, 8])]).round(3)
+    monkeypatch.setattr(kmedoids, "_build", lambda m, w, k: np.array([[0.0, 0.3], [0.0, -0.3], [20.0, 0.0]]))
+    df = frame(spark, x)
+    seen = []
+    plain = kmedoids.swap_changes
+    monkeypatch.setattr(kmedoids, "swap_changes", lambda r, c, m, p: (seen.append((m, p)), plain(r, c, m, p))[1])
+    found = kmedoids.kmedoids(df, "k", ["x", "y"], 3, cells=24)
+    d = distances(x)
+    assert sorted(i // 70 for i in found.ids) == [0, 1, 2]
+    assert found.cost == pytest.approx(d[:, found.ids].min(1).sum())
+    assert len(seen) >= 2 and all(len(p) == 24 for _, p in seen)
+    assert min(brute_change(x, np.ones(len(x)), *seen[-1]).values()) > -1e-6
+
+
 def brute_dbscan(x, eps, min_points):
     near = distances(x) <= eps
     core = near.sum(1) >= min_points
