@@ -98,12 +98,13 @@ def build_blocks(
 ) -> Blocks:
     """Cut points (id, x, w, labels) into blocks. Pivots are the points with the smallest
     hashes: a bounded number of vectors on the driver, the same for any partitioning."""
-    dim = len(points.select("x").first()[0])
+    head = points.select("x").first()
+    dim = len(head[0]) if head else 1  # without points there is one empty cell
     if pivots is None:
         n = points.count()
         wanted = int(min(max_cells, max(1, n // block_rows)))
         chosen = points.orderBy(hash_order("id", seed), "id").limit(wanted).select("x").collect()
-        pivots = np.unique(np.nan_to_num(np.array([r[0] for r in chosen], dtype=float)), axis=0)
+        pivots = np.unique(np.nan_to_num(np.array([r[0] for r in chosen], dtype=float)), axis=0) if chosen else np.zeros((1, dim))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +201,8 @@ def meet(queries: Blocks, data: Blocks, cells: np.ndarray, kernel: Kernel, schem
     live = cells & (queries.count[:, None] > 0) & (data.count[None, :] > 0)
     q, d = np.nonzero(live)
     listed = spark.createDataFrame(
-        pd.DataFrame({"qcell": q.astype("int32"), "dcell": d.astype("int32"), "last": (data.chunks[d] - 1).astype("int32")})
+        pd.DataFrame({"qcell": q.astype("int32"), "dcell": d.astype("int32"), "last": (data.chunks[d] - 1).astype("int32")}),
+        "qcell int, dcell int, last int",
     )
     visits = listed.select("qcell", "dcell", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("dchunk"))
     left = queries.rows.select(

@@ -90,25 +90,29 @@ def boxplot(df: DataFrame, value: str, by: Sequence[str], weight: str | None = N
     )
 
 
-def histogram(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
-    """Equal-width bins over the observed range, with count and density."""
-    present = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("__x"))
-    ends = present.agg(F.struct(F.min("__x").alias("lo"), F.max("__x").alias("hi"), F.count("__x").alias("n")))
-    placed = present.withColumn("__e", ends.scalar())
-    width = (F.col("__e.hi") - F.col("__e.lo")) / bins
-    index = F.when(width > 0, F.least(F.floor((F.col("__x") - F.col("__e.lo")) / width), F.lit(bins - 1))).otherwise(0)
-    counted = placed.groupBy(index.cast("int").alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.first("__e").alias("__e"),
-    )
-    return counted.select(
-        "bin",
-        (F.col("__e.lo") + F.col("bin") * width).alias("x_from"),
-        "n",
-        (F.col("n") / (F.col("__e.n") * F.nullif(width, F.lit(0.0)))).alias("density"),
+def histograms(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFrame:
+    """Equal-width bins of every column over its observed range, with count and density, in two
+    scans for all columns. Bins without rows count zero; a column of one value has one bin with
+    rows, and a column without values has no bins."""
+    values = [F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").cast("double").alias("x")) for c in columns]
+    long = df.select(F.explode(F.array(*values)).alias("v")).select("v.*").where("x IS NOT NULL")
+    ends = long.groupBy("variable").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("total"))
+    ends = ends.withColumn("width", (F.col("hi") - F.col("lo")) / bins)
+    index = F.when(F.col("width") > 0, F.least(F.floor((F.col("x") - F.col("lo")) / F.col("width")), F.lit(bins - 1))).otherwise(0)
+    counted = long.join(F.broadcast(ends), "variable").groupBy("variable", index.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    n = F.coalesce("n", F.lit(0))
+    return every.join(counted, ["variable", "bin"], "left").select(
+        "variable", "bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("x_from"), n.alias("n"),
+        (n / (F.col("total") * F.nullif("width", F.lit(0.0)))).alias("density"),
     )
 
 
+def histogram(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
+    """Equal-width bins over the observed range, with count and density; empty bins count zero."""
+    return histograms(df, [value], bins).drop("variable")
+
+
 def density_curve(df: DataFrame, value: str, by: Sequence[str] = (), points: int = 512) -> DataFrame:
     """Gaussian kernel density on an even grid reaching three bandwidths past the data.
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tallyweave.operators import classify, embed, factor, impute, profile
+from tallyweave.operators import classify, embed, factor, impute, missing, profile
 from tallyweave.params import Classification, Segmentation
 from tallyweave.plans import pipeline
 from tallyweave.plans import survey_sql as S
@@ -93,7 +93,9 @@ def _(spark, sf_dir):
 
 
 def _situation(spark, sf_dir):
-    return labelled(spark, sf_dir).select(KEY, "cl_pam", *SITUATION).na.drop("any")
+    """Every labelled respondent; gaps are filled by the median of the question."""
+    rows = labelled(spark, sf_dir).where("cl_pam IS NOT NULL").select(KEY, "cl_pam", *SITUATION)
+    return cut_lineage(missing.median_fill(rows, SITUATION))
 
 
 @query("oblimin_loadings")
@@ -108,17 +110,28 @@ def _(spark, sf_dir):
     return factor.component_scores(rows, KEY, "cl_pam", factor.cluster_components(rows, "cl_pam", SITUATION))
 
 
+_FILLED = (
+    f"{S.LABELLED}, mid AS MATERIALIZED (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in SITUATION)
+    + " FROM labelled WHERE cl_pam IS NOT NULL), filled AS MATERIALIZED (SELECT cl_pam AS cluster, "
+    + ", ".join(f"CAST(coalesce(i.{c}, mid.{c}) AS DOUBLE) AS {c}" for c in SITUATION)
+    + " FROM labelled i, mid WHERE cl_pam IS NOT NULL)"
+)
+_SQUARES = " + ".join(
+    f"pow(coalesce(CASE WHEN isnan(corr({a}, {b})) THEN 0 ELSE corr({a}, {b}) END, 0), 2)" for i, a in enumerate(SITUATION) for b in SITUATION[i + 1 :]
+)
+
+
 @query(
     "cluster_eigenvalue_sum",
-    f"WITH {S.LABELLED} SELECT cl_pam AS cluster, 10.0::DOUBLE AS total FROM labelled WHERE cl_pam IS NOT NULL AND "
-    + " AND ".join(f"{c} IS NOT NULL" for c in SITUATION)
-    + " GROUP BY 1",
+    f"WITH {_FILLED} SELECT cluster, 10.0::DOUBLE AS total, round(10 + 2 * ({_SQUARES}), 6) AS squares FROM filled GROUP BY cluster",
 )
 def _(spark, sf_dir):
-    """The eigenvalues of ten standardised variables add up to ten in every cluster."""
+    """The eigenvalues of ten standardised variables add up to ten in every cluster, and their squares
+    to the sum of all squared correlations."""
     rows = _situation(spark, sf_dir)
     values = factor.eigenvalue_table(rows, factor.cluster_components(rows, "cl_pam", SITUATION, rotation="varimax"))
-    return rounded(values.groupBy("cluster").agg(F.sum("eigenvalue").alias("total")))
+    square = F.sum(F.col("eigenvalue") * F.col("eigenvalue"))
+    return rounded(values.groupBy("cluster").agg(F.sum("eigenvalue").alias("total"), square.alias("squares")))
 
 
 _TWO = ["l_quantity", "l_extendedprice"]

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyweave.functions import recode as R
 from tallyweave.operators import combine, missing, moments, outlier, profile, weighted
@@ -594,6 +595,50 @@ def _(spark, sf_dir):
     return rounded(profile.histogram(table(spark, sf_dir, "lineitem"), "l_quantity", 30))
 
 
+def _bins_sql(column: str, source: str, bins: int) -> str:
+    return (
+        f"SELECT '{column}' AS variable, CAST(b.bin AS INT) AS bin, round(lo + b.bin * ((hi - lo) / {bins}), 6) AS x_from, coalesce(c.n, 0) AS n, "
+        f"round(coalesce(c.n, 0) / (total * ((hi - lo) / {bins})), 6) AS density "
+        f"FROM (SELECT CAST(min({column}) AS DOUBLE) AS lo, CAST(max({column}) AS DOUBLE) AS hi, count({column}) AS total FROM {source}) e "
+        f"CROSS JOIN (SELECT unnest(range({bins})) AS bin) b LEFT JOIN (SELECT least(floor(({column} - l) / ((h - l) / {bins})), {bins - 1}) AS bin, count(*) AS n "
+        f"FROM {source}, (SELECT CAST(min({column}) AS DOUBLE) AS l, CAST(max({column}) AS DOUBLE) AS h FROM {source}) WHERE {column} IS NOT NULL GROUP BY 1) c ON c.bin = b.bin"
+    )
+
+
+_BINNED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+
+
+@query("column_histograms", " UNION ALL ".join(_bins_sql(c, "lineitem", 40) for c in _BINNED))
+def _(spark, sf_dir):
+    """Histograms of all number columns in two scans, bins without rows included."""
+    return rounded(profile.histograms(table(spark, sf_dir, "lineitem"), _BINNED, 40))
+
+
+@query(
+    "sorted_sink",
+    "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total, row_number() OVER (ORDER BY count(*) DESC, o_custkey) - 1 AS line FROM orders GROUP BY 1",
+)
+def _(spark, sf_dir):
+    """Rows written in order and read back: their places in the files are their ranks."""
+    path = scratch(spark)
+    sums = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    io.write_csv(sums.withColumn("down", -F.col("n")), path, sort_by=["down", "o_custkey"])
+    stored = io.read_csv(spark, path, "o_custkey bigint, n bigint, total double, down bigint")
+    placed = stored.withColumns({"file": F.col("_metadata.file_name"), "at": F.col("_metadata.file_block_start"), "row": F.monotonically_increasing_id()})
+    sizes = placed.groupBy("file", "at").agg(F.count(F.lit(1)).alias("m"), F.min("row").alias("first"))
+    before = Window.partitionBy(F.lit(0)).orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)  # a row per split of a file
+    offsets = sizes.select("file", "at", "first", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("offset"))
+    return placed.join(F.broadcast(offsets), ["file", "at"]).select("o_custkey", "n", "total", (F.col("offset") + F.col("row") - F.col("first")).alias("line"))
+
+
+@query("declared_schema", "SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name, CAST(NULL AS DOUBLE) AS s_rating FROM supplier")
+def _(spark, sf_dir):
+    """A declared schema picks columns; one that the files lack is null."""
+    kind = table(spark, sf_dir, "supplier").schema
+    wanted = T.StructType([kind["s_suppkey"], kind["s_name"], T.StructField("s_rating", T.DoubleType())])
+    return io.read_table(spark, f"{sf_dir}/supplier.parquet", wanted).withColumn("s_suppkey", F.col("s_suppkey").cast("long"))
+
+
 @query(
     "kde_curve",
     "WITH s AS (SELECT event_type AS g, count(value) AS n, stddev_samp(value) AS sd, min(value) AS mn, max(value) AS mx, "

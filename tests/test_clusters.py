@@ -203,6 +203,11 @@ def test_medoids_are_exact(spark):
         assert np.allclose(found.points[c - 1], x[medoid])
 
 
+def test_no_rows_have_no_neighbours(spark):
+    none = frame(spark, np.zeros((2, 2))).limit(0)
+    assert neighbors.knn(none, "k", ["x", "y"], 3).count() == 0
+
+
 def brute_change(x, w, medoids, candidates):
     cost = lambda m: (w * np.sqrt(((x[:, None] - m[None]) ** 2).sum(2)).min(1)).sum()
     now, out = cost(medoids), {}

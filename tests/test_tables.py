@@ -196,3 +196,12 @@ def test_ranks_with_a_third_of_equal_values(spark):
     hot = df.where("v = 5").withColumns({"n": F.lit(1), "w": F.lit(0.0)})
     sizes = [r["count"] for r in _bucketed(hot, ["v"], "k", BUCKETS).groupBy("__bucket").count().collect()]
     assert max(sizes) < 4 * sum(sizes) / BUCKETS
+
+
+def test_histograms_keep_empty_bins(spark):
+    df = spark.createDataFrame([(0.0, 5, None), (1.0, 5, None), (10.0, 5, None), (None, 5, None)], "a double, b int, c double")
+    rows = {(r["variable"], r["bin"]): (r["x_from"], r["n"], r["density"]) for r in profile.histograms(df, ["a", "b", "c"], 5).collect()}
+    assert [rows["a", i][1] for i in range(5)] == [2, 0, 0, 0, 1] and rows["a", 4] == (8.0, 1, 1 / 6)
+    assert [rows["b", i][1] for i in range(5)] == [4, 0, 0, 0, 0] and rows["b", 0][2] is None
+    assert not any(v == "c" for v, _ in rows)
+    assert profile.histogram(df.where("a IS NULL"), "a").count() == 0
