@@ -3,16 +3,15 @@
 Tokens are the words of the text with A-Z in lower case, and one end per text. The model
 predicts units: the end, the ``UNITS`` most frequent training words, and for all other words one
 of ``RARE`` groups chosen by the word's last two letters; within a group a word has its smoothed
-share of the group's training tokens. Units are put into classes of about equal frequency, and
-the output is a softmax over classes times a softmax over the units of the class. The network
-is a gated recurrent unit in numpy. Its biases start at the training frequencies, so it begins
-as a unigram model and learns from there.
+share of the group's training tokens. Units are put into classes of about equal sums of
+roots of frequencies, and the output is a softmax over classes times a softmax over the units of
+the class. The network is a gated recurrent unit in numpy. Its biases start at the training
+frequencies, so it begins as a unigram model and learns from there.
 
 Counting covers every training token: tasks send (word, count), which Spark adds up. The network
-is fitted in ``ROUNDS`` rounds. In each round every task runs truncated backpropagation over its
-documents of the round (``SHARE`` of all training documents over all rounds, chosen by hash, so
-the work grows with the corpus), starting from the common weights; the weights are averaged by
-tokens in a tree of tasks. Documents run side by side in lanes; a document's state is carried
+is fitted in ``ROUNDS`` rounds, which share all training documents by hash: every document is
+learned from once. In each round every task runs truncated backpropagation over its documents of
+the round, starting from the common weights; the weights are averaged by tokens in a tree of tasks. Documents run side by side in lanes; a document's state is carried
 from window to window to its end, in training and in scoring, so the score is that of the
 complete text. Counts of words outside the ``KNOWN`` most frequent ones come by a join.
 
@@ -44,14 +43,13 @@ from tallyweave.session import cut_lineage
 UNITS = 4096
 KNOWN = 131072  # words whose counts go to every task; the others are joined
 RARE = 64
-CLASSES = 64
+CLASSES = 43
 STATE = 24
 WINDOW = 32
-TRAIN_LANES = 64
+TRAIN_LANES = 128
 SCORE_LANES = 192
 SCORE_WINDOW = 96  # scores do not depend on it: the state is carried over
-ROUNDS = 2
-SHARE = 0.125
+ROUNDS = 4
 RATE = 0.1
 FIRST_SQUARE = 1e-8  # what the sums of squared gradients start at
 CLIP = 5.0
@@ -119,10 +117,13 @@ class Vocabulary:
         self.log_of = np.log10(np.array([n for _, n in known], np.float64) + 0.5)
         self.shared = np.arange(len(known)) >= units  # known, but without a unit of their own
         self.counts = np.array([n for _, n in named], np.float64) + 0.5
-        share = self.counts / self.counts.sum()
+        # of the root of the frequency every class has about the same, which makes softmaxes smallest
+        share = np.sqrt(self.counts)
+        share /= share.sum()
         middle = np.cumsum(share) - share / 2
         classes = np.unique((middle * CLASSES).astype(int), return_inverse=True)[1]
-        self.class_of = classes.astype(np.int32)
+        self.narrow = np.int16 if len(named) < 1 << 15 else np.int32  # sorted in linear time
+        self.class_of = classes.astype(self.narrow)
         self.first = np.searchsorted(classes, np.arange(classes.max() + 2)).astype(np.int64)
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
@@ -147,19 +148,22 @@ class Vocabulary:
 
 # ---------------------------------------------------------------- the network
 def start_weights(vocabulary: Vocabulary, state: int = STATE, seed: int = 0) -> dict[str, np.ndarray]:
+    """``x`` and ``b``: candidate, reset, update; ``u``: reset, update, candidate; the last row of
+    ``wc`` and the last column of ``wo`` are the biases."""
     rng = np.random.default_rng(seed)
     units, classes = len(vocabulary.counts), len(vocabulary.first) - 1
     sums = np.add.reduceat(vocabulary.counts, vocabulary.first[:-1])
     small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-    return {
+    w = {
         "x": small(units, 3 * state),
         "u": small(state, 3 * state),
         "b": np.zeros(3 * state, np.float32),
-        "wc": small(state, classes),
-        "bc": np.log(sums / sums.sum()).astype(np.float32),
-        "wo": small(units, state),
-        "bo": np.log(vocabulary.counts / sums[vocabulary.class_of]).astype(np.float32),
+        "wc": small(state + 1, classes),
+        "wo": small(units, state + 1),
     }
+    w["wc"][-1] = np.log(sums / sums.sum())
+    w["wo"][:, -1] = np.log(vocabulary.counts / sums[vocabulary.class_of])
+    return w
 
 
 def to_bytes(weights: dict[str, np.ndarray]) -> bytes:
@@ -173,73 +177,128 @@ def from_bytes(data: bytes) -> dict[str, np.ndarray]:
         return {k: found[k] for k in found.files}
 
 
-def _recur(w, x: np.ndarray, keep: np.ndarray, h: np.ndarray, tape: list | None) -> tuple[np.ndarray, np.ndarray]:
-    """States (T, A, H) after each step of gate inputs x (T, A, 3H); keep is 0 where a text begins."""
+class Tape:
+    """What the way back needs of every step of a window: the state before it, the reset and update
+    gates, the candidate and its recurrent part."""
+
+    def __init__(self, steps: int, lanes: int, size: int):
+        self.before, self.inner, self.candidate = (np.empty((steps, lanes, size), np.float32) for _ in range(3))
+        self.gates = np.empty((steps, lanes, 2 * size), np.float32)
+
+
+def _recur(w, x: np.ndarray, keep: np.ndarray, h: np.ndarray, tape: Tape | None) -> tuple[np.ndarray, np.ndarray]:
+    """States (T, A, H) after each step of gate inputs x (T, A, 3H), which are overwritten; keep is 0
+    where a text begins."""
     size = h.shape[1]
+    u = w["u"]
     states = np.empty((*x.shape[:2], size), np.float32)
+    begins = (keep == 0).any(axis=1).tolist()
+    np.negative(x[:, :, size:], out=x[:, :, size:])
     for t in range(len(x)):
-        h = h * keep[t][:, None]
-        hu = h @ w["u"]
-        g = x[t, :, : 2 * size] + hu[:, : 2 * size]
-        np.negative(g, out=g)
-        np.exp(g, out=g)
+        if begins[t]:
+            h = h * keep[t][:, None]
+        hu = h @ u
+        g = x[t, :, size:]
+        g -= hu[:, : 2 * size]
+        g = np.exp(g, out=None if tape is None else tape.gates[t])
         g += 1
         np.reciprocal(g, out=g)
-        r, z, a = g[:, :size], g[:, size:], hu[:, 2 * size :]
-        c = r * a
-        c += x[t, :, 2 * size :]
+        c = np.multiply(g[:, :size], hu[:, 2 * size :], out=None if tape is None else tape.candidate[t])
+        c += x[t, :, :size]
         np.tanh(c, out=c)
         if tape is not None:
-            tape.append((h, r, z, a, c))
+            tape.before[t], tape.inner[t] = h, hu[:, 2 * size :]
         h = np.subtract(h, c, out=states[t])
-        h *= z
+        h *= g[:, size:]
         h += c
     return states, h.copy()
 
 
-def _chosen_logs(logits: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log softmax of one entry per row, and the sums that make ``logits``, which are turned
-    into exponentials in place, probabilities."""
-    logits -= logits.max(axis=1, keepdims=True)
-    found = logits[np.arange(len(chosen)), chosen]
-    np.exp(logits, out=logits)
-    sums = logits.sum(axis=1)
-    return found - np.log(sums), sums
-
-
-def _output(w, vocabulary: Vocabulary, states: np.ndarray, targets: np.ndarray, grads: dict | None):
-    """Natural log probabilities of the targets; with ``grads``, also the gradient of the states."""
+def _back(w, tape: Tape, keep: np.ndarray, outer: np.ndarray) -> np.ndarray:
+    """Gradients (T, A, 4H) of candidate, reset gate, update gate and the candidate's recurrent
+    part, from those of the states, which are overwritten."""
+    size = outer.shape[2]
+    reset, update = tape.gates[:, :, :size], tape.gates[:, :, size:]
+    to_candidate = (1 - update) * (1 - tape.candidate * tape.candidate)
+    to_reset = tape.inner * reset * (1 - reset)
+    to_update = (tape.before - tape.candidate) * update * (1 - update)
+    found = np.empty((*outer.shape[:2], 4 * size), np.float32)
+    begins = (keep == 0).any(axis=1).tolist()
+    turned = np.ascontiguousarray(w["u"].T)
+    hidden = np.zeros(outer.shape[1:], np.float32)
+    for t in range(len(outer) - 1, -1, -1):
+        d, q = outer[t], found[t]
+        d += hidden
+        dc = np.multiply(d, to_candidate[t], out=q[:, :size])
+        np.multiply(dc, to_reset[t], out=q[:, size : 2 * size])
+        np.multiply(d, to_update[t], out=q[:, 2 * size : 3 * size])
+        np.multiply(dc, reset[t], out=q[:, 3 * size :])
+        hidden = q[:, size:] @ turned
+        d *= update[t]
+        hidden += d
+        if begins[t]:
+            hidden *= keep[t][:, None]
+    return found
+
+
+def _steep(w) -> bool:
+    """Whether exponentials of logits could leave the range of a float; states are within -1 and 1."""
+    return max(np.abs(w["wo"]).sum(axis=1).max(), np.abs(w["wc"]).sum(axis=0).max()) > 80
+
+
+def _output(w, vocabulary: Vocabulary, states: np.ndarray, targets: np.ndarray, steep: bool, grads: dict | None):
+    """Natural log probabilities of the targets (0 where there is none, -1), from states (N, H);
+    with ``grads``, also the gradient of the states."""
+    size = states.shape[1]
+    real = np.flatnonzero(targets >= 0)
+    order = real[np.argsort(vocabulary.class_of[targets[real]], kind="stable")]
+    targets = targets[order]
     kinds = vocabulary.class_of[targets]
-    logits = states @ w["wc"]
-    logits += w["bc"]
-    logs, sums = _chosen_logs(logits, kinds)
-    found = logs.astype(np.float64)
-    back = None
+    inputs = np.empty((len(order), size + 1), np.float32)  # by class, with a one for the bias
+    inputs[:, :size], inputs[:, size] = states[order], 1
+    rows = np.arange(len(order))
+    ones = np.ones(max(w["wc"].shape[1], int(np.diff(vocabulary.first).max())), np.float32)
+
+    logits = inputs @ w["wc"]
+    if steep:
+        logits -= logits.max(axis=1, keepdims=True)
+    logs = logits[rows, kinds].astype(np.float64)
+    np.exp(logits, out=logits)
+    sums = logits @ ones[: logits.shape[1]]
+    logs -= np.log(sums)
     if grads is not None:
         logits /= sums[:, None]
-        logits[np.arange(len(targets)), kinds] -= 1
-        grads["wc"] += states.T @ logits
-        grads["bc"] += logits.sum(axis=0)
-        back = logits @ w["wc"].T
-    order = np.argsort(kinds, kind="stable")
-    edges = np.searchsorted(kinds[order], np.arange(len(vocabulary.first)))
-    for c in np.flatnonzero(np.diff(edges)):
-        i = order[edges[c] : edges[c + 1]]
-        a, b = vocabulary.first[c], vocabulary.first[c + 1]
-        if b - a == 1:
-            continue
-        s, at = states[i], targets[i] - a
-        logits = s @ w["wo"][a:b].T
-        logits += w["bo"][a:b]
-        logs, sums = _chosen_logs(logits, at)
-        found[i] += logs
+        logits[rows, kinds] -= 1
+        grads["wc"] = inputs.T @ logits
+        grads["wo"] = np.zeros_like(w["wo"])
+        back = logits @ w["wc"][:size].T
+    chosen, sums = np.zeros(len(order), np.float32), np.ones(len(order), np.float32)
+    edges = np.searchsorted(kinds, np.arange(len(vocabulary.first)))
+    at = targets - vocabulary.first[kinds]
+    for c in np.flatnonzero((np.diff(edges) > 0) & (np.diff(vocabulary.first) > 1)).tolist():
+        part = slice(edges[c], edges[c + 1])
+        units = slice(vocabulary.first[c], vocabulary.first[c + 1])
+        s, here, n = inputs[part], at[part], rows[: edges[c + 1] - edges[c]]
+        logits = s @ w["wo"][units].T
+        if steep:
+            logits -= logits.max(axis=1, keepdims=True)
+        chosen[part] = logits[n, here]
+        np.exp(logits, out=logits)
+        np.matmul(logits, ones[: logits.shape[1]], out=sums[part])
         if grads is not None:
-            logits /= sums[:, None]
-            logits[np.arange(len(i)), at] -= 1
-            grads["wo"][a:b] += logits.T @ s
-            grads["bo"][a:b] += logits.sum(axis=0)
-            back[i] += logits @ w["wo"][a:b]
-    return found, back
+            logits /= sums[part, None]
+            logits[n, here] -= 1
+            np.matmul(logits.T, s, out=grads["wo"][units])
+            back[part] += logits @ w["wo"][units, :size]
+    logs += chosen
+    logs -= np.log(sums)
+    found = np.zeros(len(states))
+    found[order] = logs
+    if grads is None:
+        return found, None
+    outer = np.zeros_like(states)
+    outer[order] = back
+    return found, outer
 
 
 def lanes_of(texts: list[np.ndarray], lanes: int) -> list[list[int]]:
@@ -285,15 +344,16 @@ def windows(texts: list[np.ndarray], end: int, lanes: int, window: int = WINDOW)
 
 def score_texts(w, vocabulary: Vocabulary, texts: list[np.ndarray], lanes: int = SCORE_LANES) -> np.ndarray:
     """log10 probability of the units of every text."""
+    size = w["u"].shape[0]
     total = np.zeros(len(texts))
-    h = np.zeros((0, w["u"].shape[0]), np.float32)
+    h = np.zeros((0, size), np.float32)
     gates = w["x"] + w["b"]
+    steep = _steep(w)
     for k, (inputs, targets, keep, number) in enumerate(windows(texts, vocabulary.end, lanes, SCORE_WINDOW)):
-        h = np.zeros((inputs.shape[1], w["u"].shape[0]), np.float32) if k == 0 else h[: inputs.shape[1]]
+        h = np.zeros((inputs.shape[1], size), np.float32) if k == 0 else h[: inputs.shape[1]]
         states, h = _recur(w, gates[inputs], keep, h, None)
-        real = targets >= 0
-        found, _ = _output(w, vocabulary, states[real], targets[real], None)
-        total += np.bincount(number[real], found, minlength=len(texts))
+        found, _ = _output(w, vocabulary, states.reshape(-1, size), targets.reshape(-1), steep, None)
+        total += np.bincount(number.reshape(-1), found, minlength=len(texts))
     return total / math.log(10)
 
 
@@ -308,48 +368,41 @@ def train_texts(w, vocabulary: Vocabulary, texts: list[np.ndarray], rate: float
     h = np.zeros((0, size), np.float32)
     for k, (inputs, targets, keep, _) in enumerate(windows(texts, vocabulary.end, lanes)):
         h = np.zeros((inputs.shape[1], size), np.float32) if k == 0 else h[: inputs.shape[1]]
-        tape: list = []
-        states, h = _recur(w, w["x"][inputs] + w["b"], keep, h, tape)
-        real = targets >= 0
-        count = int(real.sum())
+        tape = Tape(*inputs.shape, size)
+        x = w["x"][inputs]
+        x += w["b"]
+        states, h = _recur(w, x, keep, h, tape)
+        count = int((targets >= 0).sum())
         seen += count
-        grads = {name: np.zeros_like(v) for name, v in w.items() if name != "x"}
-        _, back = _output(w, vocabulary, states[real], targets[real], grads)
-        outer = np.zeros_like(states)
-        outer[real] = back
-        gate_grads = np.empty((*inputs.shape, 3 * size), np.float32)
-        hidden = np.zeros((inputs.shape[1], size), np.float32)
-        du = grads["u"]
-        for t in range(len(tape) - 1, -1, -1):
-            before, r, z, a, c = tape[t]
-            d = outer[t] + hidden
-            dc = d * (1 - z) * (1 - c * c)
-            dr = dc * a * r * (1 - r)
-            dz = d * (before - c) * z * (1 - z)
-            da = dc * r
-            g = gate_grads[t]
-            g[:, :size], g[:, size : 2 * size], g[:, 2 * size :] = dr, dz, dc
-            recurrent = np.concatenate([dr, dz, da], axis=1)
-            du += before.T @ recurrent
-            hidden = (d * z + recurrent @ w["u"].T) * keep[t][:, None]
-        flat = gate_grads.reshape(-1, 3 * size)
-        rows, place = np.unique(inputs.reshape(-1), return_inverse=True)
-        order = np.argsort(place, kind="stable")
-        edges = np.searchsorted(place[order], np.arange(len(rows)))
-        grads["b"] += flat.sum(axis=0)
-        grads["x"] = np.add.reduceat(flat[order], edges, axis=0)  # of the rows that occur
+        grads: dict[str, np.ndarray] = {}
+        _, outer = _output(w, vocabulary, states.reshape(-1, size), targets.reshape(-1), _steep(w), grads)
+        flat = _back(w, tape, keep, outer.reshape(states.shape)).reshape(-1, 4 * size)
+        grads["u"] = tape.before.reshape(-1, size).T @ flat[:, size:]
+        order = np.argsort(inputs.reshape(-1).astype(vocabulary.narrow), kind="stable")
+        units = inputs.reshape(-1)[order]
+        edges = np.flatnonzero(np.diff(units, prepend=-1))
+        rows = units[edges]  # those that occur
+        grads["x"] = np.add.reduceat(flat[order, : 3 * size], edges, axis=0)
+        grads["b"] = grads["x"].sum(axis=0)
         scale = 1 / max(1, count)
         norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) * scale
         scale *= min(1.0, CLIP / max(norm, 1e-12))
         for name, g in grads.items():
             g *= scale
+            squares = g * g
             if name == "x":
-                squares = sums[name][rows] + g * g
+                squares += sums[name][rows]
                 sums[name][rows] = squares
-                w[name][rows] -= rate * g / np.sqrt(squares)
             else:
-                sums[name] += g * g
-                w[name] -= rate * g / np.sqrt(sums[name])
+                sums[name] += squares
+                np.copyto(squares, sums[name])
+            np.sqrt(squares, out=squares)
+            g /= squares
+            g *= rate
+            if name == "x":
+                w[name][rows] -= g
+            else:
+                w[name] -= g
     return seen
 
 
@@ -389,27 +442,73 @@ def learn_vocabulary(training: DataFrame, text: str, units: int = UNITS, known:
     return counts, Vocabulary(top, ends, rare, tokens, types, units)
 
 
-def _in_blocks(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary):
-    """(rows, unknown words, ranks, units) of as many texts at a time as ``LANE_TOKENS`` allows;
-    the text is the last column."""
-    rows, unknown, ranks, units, held = [], [], [], [], 0
+def encode_documents(rows: DataFrame, vocabulary: Vocabulary, kind: str) -> DataFrame:
+    """Stored table, one row per row of (doc_id, held_out, text): counts, base score without the
+    unknown words, what the words' shares of their groups add to a score, the units as bytes, and
+    the unknown words. Texts are split and looked up here once, for learning and scoring alike."""
+    sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
+    key_type = to_arrow_type(rows.schema["doc_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        v = sent.value
+        task = TaskContext.get()
+        row = (task.partitionId() if task else 0) << 40
+        divisor = math.log10(v.tokens + 0.5 * (v.types + 1))
+        end_log = math.log10(v.ends + 0.5)
+        unit_logs = np.zeros(len(v.counts))
+        unit_logs[v.groups] = [v.rare_log(g) for g in range(RARE)]
+        kinds = [pa.int64(), key_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.string())]
+        names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inside", "units", "unknown"]
+        out, held = [], 0
+
+        def flushed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                cut = batch.slice(at, 64)
+                for doc_id, held_out, text in zip(cut.column(0).to_pylist(), cut.column(1).to_pylist(), cut.column(2).cast(pa.binary())):
+                    words = words_in(text.as_py())
+                    ranks = v.ranks(words)
+                    units = v.unit_ids(words, ranks)
+                    known = ranks[ranks >= 0]
+                    logs = v.log_of[known]
+                    base = float(logs.sum()) + end_log - divisor * len(units)
+                    # a word without a unit has its share of its group
+                    inside = float(logs[v.shared[known]].sum() - unit_logs[units].sum())
+                    unknown = [words[j] for j in np.flatnonzero(ranks < 0).tolist()]
+                    n_known = len(known) + (1 if v.ends else 0)
+                    out.append((row, doc_id, held_out, len(units), n_known, base, inside, units.astype(v.narrow).tobytes(), unknown))
+                    row += 1
+                    held += len(units)
+                    if held >= LANE_TOKENS:
+                        yield flushed()
+                        out, held = [], 0
+        if out:
+            yield flushed()
+
+    schema = f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, inside double, units binary, unknown array<string>"
+    return cut_lineage(rows.select("doc_id", "held_out", "text").mapInArrow(run, schema))
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[tuple[pa.Table, list[np.ndarray]]]:
+    """(rows, units) of as many texts at a time as ``LANE_TOKENS`` allows; the units are the last column."""
+    rows, units, held = [], [], 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            cut = batch.slice(at, 64)
-            others = [c.to_pylist() for c in cut.columns[:-1]]
-            for i, text in enumerate(cut.columns[-1].cast(pa.binary())):
-                words = words_in(text.as_py())
-                found = vocabulary.ranks(words)
-                rows.append([c[i] for c in others])
-                units.append(vocabulary.unit_ids(words, found))
-                unknown.append([words[j] for j in np.flatnonzero(found < 0).tolist()])
-                ranks.append(found)
-                held += len(words) + 1
-                if held >= LANE_TOKENS:
-                    yield rows, unknown, ranks, units
-                    rows, unknown, ranks, units, held = [], [], [], [], 0
-    if rows:
-        yield rows, unknown, ranks, units
+        begun = 0
+        for i, found in enumerate(batch.columns[-1]):
+            units.append(np.frombuffer(found.as_buffer(), vocabulary.narrow))
+            held += len(units[-1])
+            if held >= LANE_TOKENS:
+                rows.append(batch.slice(begun, i + 1 - begun))
+                yield pa.Table.from_batches(rows), units
+                rows, units, held, begun = [], [], 0, i + 1
+        if begun < batch.num_rows:
+            rows.append(batch.slice(begun))
+    if units:
+        yield pa.Table.from_batches(rows), units
 
 
 def _averaged(parts: DataFrame) -> tuple[dict[str, np.ndarray] | None, int]:
@@ -447,19 +546,18 @@ def _averaged(parts: DataFrame) -> tuple[dict[str, np.ndarray] | None, int]:
     return (None, 0) if not tokens else ({k: (v / tokens).astype(np.float32) for k, v in total.items()}, tokens)
 
 
-def train(training: DataFrame, key: str, text: str, vocabulary: Vocabulary, rounds: int = ROUNDS, share: float = SHARE, rate: float = RATE):
-    """(weights, tokens learned from) after all rounds."""
-    spark = training.sparkSession
+def train(encoded: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate: float = RATE):
+    """(weights, tokens learned from) after all rounds over ``encoded`` (doc_id, units)."""
+    spark = encoded.sparkSession
     weights, learned = start_weights(vocabulary), 0
     sent = spark.sparkContext.broadcast(vocabulary)
-    slices = max(rounds, round(rounds / share))
-    part = F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string"), F.lit(7)), F.lit(slices))
+    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(rounds))
     for k in range(rounds):
         begun = spark.sparkContext.broadcast(weights)
 
         def run(batches: Iterator[pa.RecordBatch], begun=begun) -> Iterator[pa.RecordBatch]:
             w, sums, tokens = None, None, 0
-            for _, _, _, units in _in_blocks(batches, sent.value):
+            for _, units in _in_blocks(batches, sent.value):
                 if w is None:
                     w = {name: v.copy() for name, v in begun.value.items()}
                     sums = {name: np.full_like(v, FIRST_SQUARE) for name, v in w.items()}
@@ -467,8 +565,7 @@ def train(training: DataFrame, key: str, text: str, vocabulary: Vocabulary, roun
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([to_bytes(w)], pa.binary()), pa.array([tokens], pa.int64())], names=["weights", "tokens"])
 
-        chosen = training.where(part == k).select(F.col(f"`{text}`").alias("text"))
-        mean, tokens = _averaged(chosen.mapInArrow(run, "weights binary, tokens bigint"))
+        mean, tokens = _averaged(encoded.where(part == k).select("units").mapInArrow(run, "weights binary, tokens bigint"))
         if tokens:
             weights, learned = mean, learned + tokens
         begun.unpersist()
@@ -479,59 +576,36 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
     """Scores of all rows by a model that never saw those whose key falls into ``fold``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), (held_fold(F.col(f"`{key}`"), folds) == fold).alias("held_out"))
-    training = rows.where("NOT held_out")
-    counts, vocabulary = learn_vocabulary(training, "text")
-    weights, learned = train(training, "doc_id", "text", vocabulary)
-    sent = spark.sparkContext.broadcast((vocabulary, weights))
+    counts, vocabulary = learn_vocabulary(rows.where("NOT held_out"), "text")
     kind = docs.schema[key].dataType.simpleString()
+    encoded = encode_documents(rows, vocabulary, kind)
+    weights, learned = train(encoded.where("NOT held_out").select("doc_id", "units"), vocabulary)
+    sent = spark.sparkContext.broadcast((vocabulary, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         vocabulary, weights = sent.value
-        task = TaskContext.get()
-        row = (task.partitionId() if task else 0) << 40
-        divisor = math.log10(vocabulary.tokens + 0.5 * (vocabulary.types + 1))
-        end_log = math.log10(vocabulary.ends + 0.5)
-        unit_logs = np.zeros(len(vocabulary.counts))
-        unit_logs[vocabulary.groups] = [vocabulary.rare_log(g) for g in range(RARE)]
-        for block, unknown, ranks, units in _in_blocks(batches, vocabulary):
-            scores = score_texts(weights, vocabulary, units)
-            out: dict[str, list] = {k: [] for k in ("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "unknown")}
-            for i, (doc_id, held_out) in enumerate(block):
-                known = ranks[i][ranks[i] >= 0]
-                logs = vocabulary.log_of[known]
-                out["row"].append(row)
-                out["doc_id"].append(doc_id)
-                out["held_out"].append(held_out)
-                out["n_tokens"].append(len(units[i]))
-                out["n_known"].append(len(known) + (1 if vocabulary.ends else 0))
-                out["base"].append(float(logs.sum()) + end_log - divisor * len(units[i]))
-                # a word without a unit has its share of its group
-                out["score"].append(float(scores[i] + logs[vocabulary.shared[known]].sum() - unit_logs[units[i]].sum()))
-                out["unknown"].append(unknown[i])
-                row += 1
-            kinds = [pa.int64(), batch_kind, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
-
-    batch_kind = to_arrow_type(docs.schema[key].dataType)
-    schema = f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, unknown array<string>"
-    stored = cut_lineage(rows.select("doc_id", "held_out", "text").mapInArrow(run, schema))
+        for block, units in _in_blocks(batches, vocabulary):
+            scores = pa.array(score_texts(weights, vocabulary, units))
+            yield from block.drop_columns(["units"]).append_column("score", scores).combine_chunks().to_batches()
+
+    carried = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inside"]
+    schema = f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, inside double, score double"
+    scored = cut_lineage(encoded.select(*carried, "units").mapInArrow(run, schema))
     joined = (
-        stored.select("row", F.explode("unknown").alias("w"))
+        encoded.select("row", F.explode("unknown").alias("w"))
         .join(counts, F.col("w") == F.col("word"), "left")
         .select("row", F.coalesce("n", F.lit(0)).alias("n"))
         .groupBy("row")
         .agg(F.sum(F.log10(F.col("n") + 0.5)).alias("more"), F.sum((F.col("n") > 0).cast("long")).alias("more_known"))
     )
     more = F.coalesce("more", F.lit(0.0))
-    return stored.drop("unknown").join(joined, "row", "left").select(
+    return scored.join(joined, "row", "left").select(
         F.col("doc_id").alias(key),
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        (F.col("score") + F.col("inside") + more).alias("score"),
         F.lit(learned).cast("long").alias("network_tokens"),
     )

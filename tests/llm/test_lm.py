@@ -49,6 +49,19 @@ def test_lanes_and_windows_do_not_change_scores(monkeypatch):
     assert m.score_texts(w, v, []).shape == (0,)
 
 
+def test_large_weights_are_shifted_before_exponentials():
+    v, _ = small_vocabulary()
+    w = m.start_weights(v, 5, seed=6)
+    texts = [np.arange(len(v.counts), dtype=np.int32)]
+    assert not m._steep(w)
+    states, targets = np.tanh(np.random.default_rng(0).standard_normal((40, 5))).astype(np.float32), np.arange(40) % len(v.counts)
+    plain, back = m._output(w, v, states, targets, False, {})
+    shifted, other = m._output(w, v, states, targets, True, {})
+    assert np.allclose(plain, shifted, atol=1e-5) and np.allclose(back, other, atol=1e-5)
+    w["wo"][:, -1] += 300
+    assert m._steep(w) and np.isfinite(m.score_texts(w, v, texts)).all()
+
+
 def test_gradient_against_differences(monkeypatch):
     v, _ = small_vocabulary()
     rng = np.random.default_rng(3)
@@ -86,7 +99,9 @@ def test_documents_counts_and_likelihood(spark):
         base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens)
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (k in held, len(tokens), sum(w in counts for w in tokens), n)
         assert abs(r["base_score"] - base) < 1e-6 * len(tokens) and r["score"] < 0
-    assert sum(got[k]["score"] for k in held) > sum(got[k]["base_score"] for k in held)
+        assert r["network_tokens"] == n  # every training token is learned from
+    gain = sum(got[k]["score"] - got[k]["base_score"] for k in held) / sum(got[k]["n_tokens"] for k in held)
+    assert gain > 0.3  # log10 a token
 
 
 ODD = [(1, None), (2, ""), (3, " \n"), (4, "ONE one Öne"), (4, "ONE one Öne"), (5, "w " * 100000), (None, "null key"), (6, "x\x1cy")]
