@@ -53,7 +53,8 @@ ROUNDS = 4
 RATE = 0.1
 FIRST_SQUARE = 1e-8  # what the sums of squared gradients start at
 CLIP = 5.0
-LANE_TOKENS = 1_500_000  # tokens worked on at a time
+LANE_TOKENS = 3_000_000  # tokens worked on at a time
+TASK_TOKENS = 2_000_000  # tokens a task learns from in a round, at least; fewer leave lanes idle beside long texts
 COUNTED_AT_ONCE = 400_000
 FAN_IN = 16
 
@@ -243,7 +244,8 @@ def _back(w, tape: Tape, keep: np.ndarray, outer: np.ndarray) -> np.ndarray:
 
 def _steep(w) -> bool:
     """Whether exponentials of logits could leave the range of a float; states are within -1 and 1."""
-    return max(np.abs(w["wo"]).sum(axis=1).max(), np.abs(w["wc"]).sum(axis=0).max()) > 80
+    ones = np.ones(w["wo"].shape[1], np.float32)
+    return max((np.abs(w["wo"]) @ ones).max(), (ones @ np.abs(w["wc"])).max()) > 80
 
 
 def _output(w, vocabulary: Vocabulary, states: np.ndarray, targets: np.ndarray, steep: bool, grads: dict | None):
@@ -552,6 +554,7 @@ def train(encoded: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate
     weights, learned = start_weights(vocabulary), 0
     sent = spark.sparkContext.broadcast(vocabulary)
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(rounds))
+    tasks = max(1, -(-vocabulary.tokens // (rounds * TASK_TOKENS)))
     for k in range(rounds):
         begun = spark.sparkContext.broadcast(weights)
 
@@ -565,7 +568,7 @@ def train(encoded: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([to_bytes(w)], pa.binary()), pa.array([tokens], pa.int64())], names=["weights", "tokens"])
 
-        mean, tokens = _averaged(encoded.where(part == k).select("units").mapInArrow(run, "weights binary, tokens bigint"))
+        mean, tokens = _averaged(encoded.where(part == k).select("units").coalesce(tasks).mapInArrow(run, "weights binary, tokens bigint"))
         if tokens:
             weights, learned = mean, learned + tokens
         begun.unpersist()
