@@ -2,6 +2,7 @@
 
 import math
 import re
+import textwrap
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -11,26 +12,71 @@ from tallyweave.llm import entries
 from tests.llm.conftest import SF_DIR
 
 
+SIGNS = ["/*", "*", "//", "#", "--", ";", "%", "<!--", '"""', "'''"]
+
+
+def clean(line):
+    """(the line without comment signs, whether it had one), sign by sign."""
+    rest, sign = line.strip(), False
+    for s in SIGNS:
+        if rest.startswith(s):
+            sign, repeated = True, s[-1] if s in ("/*", "*", "//", "#", "--", ";", "%") else ""
+            rest = rest[len(s) :].lstrip(repeated) if repeated else rest[len(s) :]
+            rest = rest[1:] if s == "*" and rest.startswith("/") else rest
+            break
+    rest = rest.strip()
+    for s in ("*/", "-->", '"""', "'''"):
+        if rest.endswith(s):
+            rest = rest[: -len(s)].rstrip("*") if s == "*/" else rest[: -len(s)]
+            break
+    return rest.strip(), sign or not line.strip()
+
+
+def sentences(part):
+    out, start = [], 0
+    for i, ch in enumerate(part):
+        if ch in ".!?;:" and part[i + 1 : i + 2] in (" ", "\t") and not part[: i + 1].endswith("Identifier:"):
+            out.append(part[start : i + 1])
+            start = i + 1
+    return [*out, part[start:]]
+
+
+def candidates(path, text):
+    cleaned = [clean(line) for line in text.split("\n")]
+    lines, blocks, head = [c for c, _ in cleaned], [[]], []
+    for c in lines:
+        blocks[-1].append(c) if c else blocks.append([])
+    for c, commented in cleaned:
+        if not commented:
+            break
+        head.append(c)
+    blocks = [" ".join(b) for b in blocks]
+    found = {s for part in lines + blocks for s in sentences(part)} | set(blocks) | {" ".join(head)}
+    name = (path or "").rpartition("/")[2].lower()
+    if name.split(".")[0] in ("license", "licence", "copying", "notice"):
+        found.add(" ".join(lines))
+    return {c for c in found if re.search(m.ANCHOR, c)}
+
+
 def brute(files):
-    idf, other, rows = m.template_vectors()
-    vectors = {}
-    for term, number, name, weight in rows:
-        vectors.setdefault((name, number), {})[term] = weight
+    listed = [(name, Counter(re.findall("[a-z0-9]+", t.lower()))) for name, ts in m.TEMPLATES.items() for t in ts]
+    seen = Counter(t for _, c in listed for t in c)
+    weigh = lambda counts: {t: n * (math.log((1 + len(listed)) / (1 + seen.get(t, 1))) + 1) for t, n in counts.items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    vectors = [(name, weigh(c)) for name, c in listed]
 
-    def own(text):
+    def own(path, text):
         best = (0.0, None)
-        for p in re.split(r"\n|(?<=[.!?;:])[ \t]+", text or ""):
-            if not re.search(m.ANCHOR, p):
-                continue
-            tf = {t: n * idf.get(t, other) for t, n in Counter(re.findall("[a-z0-9]+", p.lower())).items()}
-            norm = math.sqrt(sum(x * x for x in tf.values()))
-            for (name, _), v in vectors.items():
-                dot = sum(x * tf.get(t, 0) for t, x in v.items())
-                if dot and (-round(min(1, dot / norm), 9), name) < (-best[0], best[1] or "~"):
-                    best = (round(min(1, dot / norm), 9), name)
+        for p in candidates(path, text or ""):
+            tf = weigh(Counter(re.findall("[a-z0-9]+", p.lower())))
+            for name, v in vectors:
+                if all(n in tf for n in re.findall("[1-9]", name) if not name.startswith("BSD")):
+                    dot = sum(x * tf.get(t, 0) for t, x in v.items()) / norm(v) / max(norm(tf), 1e-9)
+                    if dot and (-round(min(1, dot), 9), name) < (-best[0], best[1] or "~"):
+                        best = (round(min(1, dot), 9), name)
         return best
 
-    found = [(p, *own(t)) for p, t in files]
+    found = [(p, *own(p, t)) for p, t in files]
     declared = {}
     for p, score, name in found:
         if p is not None and score >= m.FLOOR and re.match(m.LICENCE_FILE, p.rpartition("/")[2]):
@@ -75,3 +121,41 @@ def test_documents(spark):
     assert len(got) == len(texts)
     assert sorted(((r["path"], r["own_license"], round(r["score"], 6), r["inherited_from"], r["license"]) for r in got), key=str) == want
     assert any(r["own_license"] for r in got)
+
+
+def wrapped(text, width, sign=""):
+    return "\n".join(f"{sign}{line}" for line in textwrap.wrap(text, width))
+
+
+BSD = m._SOURCE_AND_BINARY.replace(" 1.", "\n\n1.").replace(" 2.", "\n2.")
+NOTICES = [
+    ("a.c", "/*\n" + wrapped(m.TEMPLATES["GPL-3.0"][2], 60, " * ") + "\n *\n * This program is distributed in the hope that it will be useful.\n */\nint x;", "GPL-3.0"),
+    ("a.py", "#!/usr/bin/env python\n# Copyright 2020 Some One\n#\n" + wrapped(m.TEMPLATES["GPL-2.0"][1], 50, "# ") + "\n\nimport os", "GPL-2.0"),
+    ("b.h", wrapped(m.TEMPLATES["LGPL-2.1"][1], 55, "// ") + "\nint y;", "LGPL-2.1"),
+    ("b3.h", wrapped(m.TEMPLATES["LGPL-3.0"][1], 55, "// ") + "\nint y;", "LGPL-3.0"),
+    ("b.sql", wrapped(m.TEMPLATES["AGPL-3.0"][1], 70, "-- ") + "\nSELECT 1", "AGPL-3.0"),
+    ("c.js", "/* " + wrapped(m.TEMPLATES["MPL-2.0"][1], 60) + " */\nlet z", "MPL-2.0"),
+    ("c.java", "/*\n * Copyright 2021 The Owners\n *\n" + wrapped(m.TEMPLATES["Apache-2.0"][2], 70, " * ") + "\n */\nclass A {}", "Apache-2.0"),
+    ("d.rs", "// SPDX-License-Identifier: MIT\nfn main() {}", "MIT"),
+    ("d.c", "// SPDX-License-Identifier: GPL-2.0-only\nint main;", "GPL-2.0"),
+    ("e.c", "/* SPDX-License-Identifier: GPL-3.0-or-later */", "GPL-3.0"),
+    ("x/LICENSE", "Copyright (c) 2019, Some One\nAll rights reserved.\n\n" + wrapped(BSD, 70) + "\n\n" + wrapped(m._NO_ENDORSEMENT, 70) + "\n\n" + wrapped(m._AS_IS, 70), "BSD-3-Clause"),
+    ("y/LICENSE.txt", "Copyright (c) 2019, Some One\n\n" + wrapped(BSD, 70) + "\n\n" + wrapped(m._AS_IS, 70), "BSD-2-Clause"),
+    ("z.c", "/*\n * Copyright (c) 2019\n *\n" + wrapped(m._SOURCE_AND_BINARY, 70, " * ") + "\n *\n" + wrapped(m._AS_IS, 70, " * ") + "\n */\nint z;", "BSD-2-Clause"),
+    ("w/LICENSE", "MIT License\n\nCopyright (c) 2020 A B\n\n" + wrapped(m.TEMPLATES["MIT"][4], 72), "MIT"),
+    ("v/COPYING", "      GNU GENERAL PUBLIC LICENSE\n       Version 3, 29 June 2007\n\n Copyright (C) 2007\n Everyone is permitted to copy.\n\n  Preamble\n\n" + "The licenses for most works are long. " * 300, "GPL-3.0"),
+    ("u/COPYING", "      GNU GENERAL PUBLIC LICENSE\n       Version 2, June 1991\n\n Preamble", "GPL-2.0"),
+    ("t/LICENSE", "       Apache License\n     Version 2.0, January 2004\n   http://www.apache.org/licenses/\n\n TERMS AND CONDITIONS", "Apache-2.0"),
+    ("two.txt", "This work is licensed under the GNU General Public\nLicense, version 3.", "GPL-3.0"),
+    ("cut.txt", "This work is licensed under the GNU General Public", None),
+    ("none.txt", "Your driving license is a permission to drive; no warranty is given for the car.", None),
+    ("own.txt", "Copyright 2020 Some One. All rights reserved.", None),
+]
+
+
+def test_notices(spark):
+    frame = spark.createDataFrame([(p, t) for p, t, _ in NOTICES], "path string, text string")
+    got = {r["path"]: r for r in m.scan(frame).collect()}
+    assert {p: got[p]["own_license"] for p, _, _ in NOTICES} == {p: want for p, _, want in NOTICES}
+    want = brute([(p, t) for p, t, _ in NOTICES])
+    assert sorted(((r["path"], r["own_license"], round(r["score"], 6), r["inherited_from"], r["license"]) for r in got.values()), key=str) == want
