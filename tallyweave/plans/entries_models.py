@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tallyweave.operators import classify, embed, factor, impute, missing, profile
+from tallyweave.operators import classify, embed, factor, impute, missing, profile, tree
 from tallyweave.params import Classification, Segmentation
 from tallyweave.plans import pipeline
 from tallyweave.plans import survey_sql as S
@@ -171,6 +171,30 @@ def _(spark, sf_dir):
     return embed.umap(vectors(spark, sf_dir), "vec_id", EMBEDDED, iterations=60, steps_per_round=20)
 
 
+_TREE_SQL = """
+WITH p AS (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+b AS (SELECT min(x) AS lx, min(y) AS ly, greatest(max(x) - min(x), max(y) - min(y)) AS side FROM p),
+c AS (SELECT x, y, least(CAST(floor((x - lx) / side * 4096.0) AS BIGINT), 4095) AS gx, least(CAST(floor((y - ly) / side * 4096.0) AS BIGINT), 4095) AS gy FROM p, b),
+l AS (SELECT CAST(range AS INT) AS level FROM range(0, 7)),
+n AS (SELECT level, gx >> (12 - 2 * level) AS cx, gy >> (12 - 2 * level) AS cy, count(*) AS n, avg(x) AS c0, avg(y) AS c1 FROM c, l GROUP BY ALL)
+SELECT level, count(*) AS cells, max(n) AS largest, CAST(sum(n) AS DOUBLE) AS mass, round(sum(abs(c0)), 3) AS centre_0, round(sum(abs(c1)), 3) AS centre_1
+FROM n GROUP BY level
+"""
+
+
+@query("repulsion_tree", _TREE_SQL)
+def _(spark, sf_dir):
+    """Cells, rows, mass and centres of every level of the tree that repulsion is summed over."""
+    points = vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.lit(1.0).alias("w"), F.array(*EMBEDDED[:2]).alias("y"))
+    cube = tree.cube_around(points, 2, depth=6)
+    nodes = tree.grow(points.withColumn("code", cube.code()), cube)
+    summed = nodes.groupBy("level").agg(
+        F.count(F.lit(1)).alias("cells"), F.max("rows").alias("largest"), F.sum("mass").alias("mass"),
+        *[F.sum(F.abs(f"c{j}")).alias(f"centre_{j}") for j in range(2)],
+    )
+    return rounded(summed, 3)
+
+
 @query("affinity_rows", "SELECT vec_id AS id, round(ln(10), 3) AS entropy FROM embeddings")
 def _(spark, sf_dir):
     """The neighbour probabilities of every point have the entropy of the perplexity."""
