@@ -62,6 +62,54 @@ def test_gower_with_missing_values(spark):
     assert got[3] == (2, 0.0)
 
 
+def test_gower_meets_few_boxes_and_loses_nothing(spark, monkeypatch):
+    """Many boxes with missing values: the neighbours of all pairs, from a small part of the pairs."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 32)
+    rng = np.random.default_rng(4)
+    v, c = rng.random(1500).round(4), rng.integers(0, 12, 1500)
+    rows = [(i, None if i % 41 == 0 else float(v[i]), None if i % 37 == 0 else f"c{c[i]}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "k long, v double, c string")
+    seen = []
+    meet = blocks.meet
+    monkeypatch.setattr(blocks, "meet", lambda q, d, cells, *rest: seen.append(q.count @ cells @ d.count) or meet(q, d, cells, *rest))
+    got = {r["k"]: (r["distance"], r["neighbour"]) for r in neighbors.gower_nearest(df, "k", ["v"], ["c"]).collect()}
+    x = np.array([np.nan if r[1] is None else r[1] for r in rows])
+    codes = np.array([np.nan if r[2] is None else float(r[2][1:]) for r in rows])
+    gap, other = np.abs(x[:, None] - x), np.abs(codes[:, None] - codes)
+    parts = np.stack([gap / (np.nanmax(x) - np.nanmin(x)), np.where(np.isnan(other), np.nan, (other > 0).astype(float))])
+    used = (~np.isnan(parts)).sum(0)
+    truth = np.where(used > 0, np.nansum(parts, 0) / np.maximum(used, 1), np.inf)
+    np.fill_diagonal(truth, np.inf)
+    with_any = [i for i in range(1500) if rows[i][1] is not None or rows[i][2] is not None]
+    assert sorted(got) == with_any
+    assert np.allclose([got[i][0] for i in with_any], truth[with_any].min(1), atol=1e-12)
+    assert len(seen) == 2 and sum(seen) < 0.4 * 1500**2
+
+
+def test_blocks_of_a_tile_answer_together(spark, blobs):
+    """What a point finds leaves once per tile, not once per block, and a sum likewise."""
+    labels = np.repeat(np.arange(4), 60).astype(int)
+    pdf = pd.DataFrame({"id": np.arange(240), "x": blobs.tolist(), "w": 1.0, "labels": [[int(v)] for v in labels]})
+    points = spark.createDataFrame(pdf, "id long, x array<double>, w double, labels array<int>")
+    data = blocks.build_blocks(points, block_rows=16)
+    everything = blocks.every_cell(data, data)
+    assert data.chunks.sum() > 8
+    found = blocks.meet(data, data, everything, blocks.nearest_kernel(3), blocks.FOUND, blocks.best_of(3))
+    assert found.count() == 240 * 3
+    schema = "id long, method int, cluster int, total double"
+    sums = blocks.meet(data, data, everything, blocks.cluster_sums_kernel, schema, blocks.added).toPandas()
+    assert len(sums) == 240 * 4
+    truth = distances(blobs) @ (labels[:, None] == np.arange(4))
+    assert np.allclose(sums.total, truth[sums.id, sums.cluster])
+
+
+def test_squared_distances_where_the_product_cancels():
+    rng = np.random.default_rng(3)
+    a = np.vstack([rng.normal(0, 1, (200, 16)), np.full((3, 16), 1e4)])
+    b = np.vstack([a + 1e-7, rng.normal(0, 1, (300, 16))])
+    assert np.allclose(blocks._squared_closely(a, b), blocks._apart(a, b), rtol=1e-9, atol=0)
+
+
 def _gower_pairs(rows, others, k):
     """(key, neighbours by distance and key) in plain Python; ``others`` None: the rows themselves."""
     data = rows if others is None else others
