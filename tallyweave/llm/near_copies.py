@@ -1,11 +1,13 @@
-"""Near copies by exact shingle similarity, found through min-hash bands.
+"""Near copies by exact shingle similarity, found through SimHash fingerprints and min-hash bands.
 
 Two texts are linked if the Jaccard similarity of their sets of ``WORDS``-word shingles is at
-least ``LEAST`` (shingles as XXH64 hashes, A-Z in lower case). A 64-bit SimHash cannot serve
-here: at a similarity of 0.8 two fingerprints differ in 9.7 bits on average.
+least ``LEAST`` (shingles as XXH64 hashes, A-Z in lower case).
 
-Candidates. Every distinct shingle set has ``BANDS`` keys, each of ``ROWS`` min-hashes. A pair of
-similarity s shares a key with probability 1 - (1 - s^ROWS)^BANDS: 0.9993 at 0.8, 0.99998 at 0.85.
+Candidates. The 64-bit SimHash fingerprints of the distinct shingle sets are searched for those that
+differ in at most four bits, by the segment counts of ``simhash_segments``; what hangs together is
+under one key. At a similarity of 0.8 two fingerprints differ in 9.7 bits on average, though, so every
+set has ``BANDS`` further keys, each of ``ROWS`` min-hashes. A pair of similarity s shares one of
+these with probability 1 - (1 - s^ROWS)^BANDS: 0.9993 at 0.8, 0.99998 at 0.85.
 
 Every candidate is verified, by joins with the shingle sets. First the members of a key are held
 against its smallest one, which connects a group of near copies without all its pairs. Members of
@@ -38,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.llm.simhash_segments import SEED, shingle_hashes
+from tallyweave.llm.simhash_segments import SEED, fingerprint_links, majority, shingle_hashes
 from tallyweave.operators.components import connected_components
 from tallyweave.session import cut_lineage, drop_step
 
@@ -72,12 +74,13 @@ def band_keys(shingles: np.ndarray) -> list[int]:
 
 
 def _signatures(words: int):
-    @F.pandas_udf("shingles long, n int, keys array<long>")
+    @F.pandas_udf("shingles long, n int, keys array<long>, fp long")
     def signature(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [shingle_set(t, words) for t in texts]
             ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"shingles": ids, "n": [len(s) for s in sets], "keys": [band_keys(s) for s in sets]})
+            fps = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"shingles": ids, "n": [len(s) for s in sets], "keys": [band_keys(s) for s in sets], "fp": fps})
 
     return signature
 
@@ -152,6 +155,14 @@ def _rarest(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
     return placed.select("id", "n", "key", "at", (F.col("at") <= reach(2 * least[0], least[0] + least[1])).alias("indexed"))
 
 
+def with_fingerprint_key(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (id, n, keys, fp and others) with one more key: what its fingerprint is linked to."""
+    groups = connected_components(fingerprint_links(nodes.where("n > 0").select("fp").distinct()))
+    key = F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp"))
+    keys = F.when(F.col("n") > 0, F.concat("keys", F.array(key))).otherwise(F.col("keys"))
+    return nodes.join(groups, F.col("fp") == F.col("node"), "left").withColumn("keys", keys).select(*nodes.columns)
+
+
 def components_of(nodes: DataFrame, texts: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
     """(node, component) of the linked ones among ``nodes`` (id, n, keys); ``texts`` are (id, text)."""
     shared = _shared(nodes.select("id", "n", F.explode("keys").alias("key"), F.lit(1).alias("at"), F.lit(True).alias("indexed")))
@@ -207,10 +218,10 @@ def one_of_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text",
     )
     ranked = F.struct("_rank.n", "_rank.k", "_rank.t", F.col("_row").alias("r"))
     nodes = cut_lineage(
-        stored.groupBy(F.col("_sig.shingles").alias("id")).agg(F.min(ranked).alias("lowest"), F.first("_sig.n").alias("n"), F.first("_sig.keys").alias("keys"))
+        stored.groupBy(F.col("_sig.shingles").alias("id")).agg(F.min(ranked).alias("lowest"), F.first("_sig.n").alias("n"), F.first("_sig.keys").alias("keys"), F.first("_sig.fp").alias("fp"))
     )
     texts = stored.select("_row", F.col("_text").alias("text")).join(nodes.select("id", F.col("lowest.r").alias("_row")), "_row").select("id", "text")
-    parts = components_of(nodes, texts, words, least)
+    parts = components_of(with_fingerprint_key(nodes), texts, words, least)
     chosen = (
         nodes.select("id", "lowest")
         .join(parts, F.col("id") == F.col("node"), "left")

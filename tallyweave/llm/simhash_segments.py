@@ -88,6 +88,15 @@ def fingerprint_of(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(starts)).tobytes(), "big")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned fingerprint of unsigned 64-bit hashes; zero without any."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), HASHES_AT_ONCE):
+        part = hashes[at : at + HASHES_AT_ONCE].astype(">u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+
+
 @F.pandas_udf(LongType())
 def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The fingerprint as a signed long."""

@@ -102,6 +102,32 @@ def test_a_shared_passage_makes_no_square(spark, monkeypatch):
     assert sum(tested) < 10 * len(rows)
 
 
+def test_fingerprints_alone_find_close_copies(spark, monkeypatch):
+    """No set has a min-hash key: what differs in few bits is found by the fingerprints, and tested."""
+    rng = random.Random(21)
+    rows = []
+    for g in range(40):
+        base = [f"f{g}x{i}" for i in range(400)]
+        rows += [(10 * g, " ".join(base)), (10 * g + 1, edited(base, 1, rng))]
+    rows += [(5000, ""), (5001, "alone")]
+    sets = {k: m.shingle_set(t) for k, t in rows}
+    fps = {k: m.majority(s) for k, s in sets.items()}
+    near = [g for g in range(40) if (fps[10 * g] ^ fps[10 * g + 1]).bit_count() <= 4]
+    assert len(near) > 30 and fps[5000] == 0
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    nodes = spark.createDataFrame([(k, len(s), [], signed(fps[k])) for k, s in sets.items()], "id long, n int, keys array<long>, fp long")
+    texts = spark.createDataFrame(rows, "id long, text string")
+    found = {r["node"]: r["component"] for r in m.components_of(m.with_fingerprint_key(nodes), texts).collect()}
+    assert found == {10 * g + i: 10 * g for g in near for i in (0, 1)}
+
+    searched = []
+    plain = m.fingerprint_links
+    monkeypatch.setattr(m, "fingerprint_links", lambda fps: (searched.append(fps.count()), plain(fps))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF_DIR).collect()}
+    assert got == brute_kept(rows) and searched == [len({f for k, f in fps.items() if k != 5000})]
+
+
 @pytest.mark.parametrize("s, least", [(0.8, 0.99), (0.9, 0.999)])
 def test_keys_find_similar_sets(s, least):
     rng = np.random.default_rng(5)
