@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.special import beta_cdf, chi_square_tail, exact_binomial_interval
 from tallyweave.operators import combine, missing, moments, outlier, profile, weighted
+from tallyweave.operators import ranks
 from tallyweave.operators.ranks import quantiles, ranked
 
 
@@ -33,6 +34,21 @@ def test_quantiles_match_numpy(skewed, partitions):
     assert np.allclose(list(overall), np.quantile(pdf.x, probabilities))
 
 
+def test_one_quantile_puts_few_rows_in_order(spark, monkeypatch):
+    df = spark.range(60_000).select((F.xxhash64("id") / 1e12).alias("x"), F.floor(F.rand(3) * 9).alias("few"), F.lit(1.5).alias("same"))
+    ordered = []
+    plain = ranks.ordered_totals
+    monkeypatch.setattr(ranks, "ordered_totals", lambda rows, *rest, **more: (ordered.append(rows.count()), plain(rows, *rest, **more))[1])
+    x = df.toPandas()
+    for p in (0.0, 0.75, 1.0):
+        assert ranks.exact_quantile(df, "x", p) == pytest.approx(np.quantile(x.x, p), rel=1e-14)
+    assert max(ordered) < 600
+    assert ranks.exact_quantile(df, "few", 0.75) == np.quantile(x.few, 0.75) and ranks.exact_quantile(df, "same", 0.75) == 1.5
+    assert ranks.exact_quantile(df.limit(0), "x", 0.5) is None
+    monkeypatch.setattr(ranks, "SKETCH", 7)  # a sketch that is far off
+    assert ranks.exact_quantile(df, "x", 0.75) == pytest.approx(np.quantile(x.x, 0.75), rel=1e-14)
+
+
 def test_weighted_quantiles(skewed):
     pdf, df = skewed
     for row in quantiles(df, "x", [0.25, 0.5], ["g"], "w").collect():
