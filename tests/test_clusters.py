@@ -103,6 +103,39 @@ def test_blocks_of_a_tile_answer_together(spark, blobs):
     assert np.allclose(sums.total, truth[sums.id, sums.cluster])
 
 
+def test_tiles_are_sent_once_per_strip_or_range(spark, blobs, monkeypatch):
+    """4,000,000 points of 64 numbers are 257 tiles: each went to 257 pairs, it goes to 4 ranges or 16 strips and one."""
+    met = np.ones((257, 257), dtype=bool)
+    met[5, 250:] = False
+    size = 4_000_000 * 536
+    sent, visits = blocks._visits(met, size, size)
+    assert len(sent[False][0]) <= 257 * 4 and len(sent[True][0]) <= 257 * 16 and visits == 64
+    held = {side: [set(tile[visit == v]) for v in range(visits)] for side, (tile, visit) in sent.items()}
+    pairs = [(q, d) for a, b in zip(held[False], held[True]) for q in a for d in b if met[q, d]]
+    assert len(pairs) == len(set(pairs)) == met.sum()
+    grown, _ = blocks._visits(np.ones((1028, 1028), dtype=bool), 4 * size, 4 * size)
+    assert max(np.bincount(grown[False][1])) * blocks.TILE_BYTES <= 1.1 * blocks.STRIP_BYTES
+
+    # many strips and ranges of small tiles give what one gives
+    merged = distinct_points(frame(spark, blobs), "k", ["x", "y"])
+    for name, value in (("BLOCK_ROWS", 16), ("STRIPS", 3), ("RANGES", 2)):
+        monkeypatch.setattr(blocks, name, value)
+    data = blocks.build_blocks(as_points(merged, ["x", "y"]), block_rows=16)
+    everything = blocks.every_cell(data, data)
+    raw = blocks.meet(data, data, everything, blocks.nearest_kernel(3), blocks.FOUND, blocks.best_of(3))
+    assert raw.count() == 2 * 3 * len(blobs)  # the three nearest of every range
+    got = blocks._nearest_of(raw, 3).toPandas().sort_values(["id", "rank"])
+    d = distances(blobs)
+    np.fill_diagonal(d, np.inf)
+    assert np.allclose(got.distance.to_numpy().reshape(-1, 3), np.sort(d, axis=1)[:, :3])
+    labelled = distinct_points(frame(spark, blobs).withColumn("c", (F.col("k") / 60).cast("int")), "k", ["x", "y"], ["c"])
+    data = blocks.build_blocks(as_points(labelled, ["x", "y"], ["c"]), block_rows=16)
+    schema = "id long, method int, cluster int, total double"
+    sums = blocks.meet(data, data, blocks.every_cell(data, data), blocks.cluster_sums_kernel, schema, blocks.added)
+    sums = sums.groupBy("id", "cluster").agg(F.sum("total").alias("t")).toPandas().pivot(index="id", columns="cluster", values="t")
+    assert np.allclose(sums.sort_index().to_numpy(), distances(blobs).reshape(240, 4, 60).sum(2))
+
+
 def test_squared_distances_where_the_product_cancels():
     rng = np.random.default_rng(3)
     a = np.vstack([rng.normal(0, 1, (200, 16)), np.full((3, 16), 1e4)])
