@@ -18,9 +18,15 @@ from tallyweave.llm.quality_llr import bucket_ratios, judge_quality, kept_rows
 from tallyweave.session import cut_lineage, ship_package
 
 
+def prepared(spark: SparkSession) -> None:
+    """The package on the workers, and batches of fewer whole texts: a worker holds one beside its caches."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language compression tells with a margin, learned from the labelled ones."""
-    ship_package(spark)
+    prepared(spark)
     return confident(classify(docs, learn_dictionaries(docs))).select(*docs.columns)
 
 
@@ -34,19 +40,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near copies: 0.8 or more of the five-word shingles in common."""
-    ship_package(spark)
+    prepared(spark)
     return one_of_near_copies(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of the sources takes it."""
-    ship_package(spark)
+    prepared(spark)
     return mixed_rows(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 4,096 tokens, with their ids."""
-    ship_package(spark)
+    prepared(spark)
     return pack(docs, tokenizer_path())
 
 

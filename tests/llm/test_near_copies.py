@@ -125,6 +125,7 @@ def test_fingerprints_alone_find_close_copies(spark, monkeypatch):
     monkeypatch.setattr(m, "fingerprint_links", lambda fps: (searched.append(fps.count()), plain(fps))[1])
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF_DIR).collect()}
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000  # whole texts in a worker
     assert got == brute_kept(rows) and searched == [len({f for k, f in fps.items() if k != 5000})]
 
 
