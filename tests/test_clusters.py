@@ -417,3 +417,29 @@ def test_hull_contains_every_point(spark, blobs):
         for a, b in zip(p, np.roll(p, -1, axis=0)):
             cross = (b[0] - a[0]) * (inside[:, 1] - a[1]) - (b[1] - a[1]) * (inside[:, 0] - a[0])
             assert (cross >= -1e-9).all()
+
+
+def test_medoid_update_evaluates_few_rows(spark, monkeypatch):
+    """The rows evaluated exactly do not grow with the table, and the medoid stays exact."""
+    monkeypatch.setattr(kmedoids, "CHUNK", 32)
+    seen, plain = [], kmedoids._exact_costs
+    monkeypatch.setattr(kmedoids, "_exact_costs", lambda df, c, chunk: (seen.append(len(chunk)), plain(df, c, chunk))[1])
+    x = np.random.default_rng(5).normal(0, 1, (6000, 2)).round(6)
+    found = kmedoids.kmedoids(frame(spark, x), "k", ["x", "y"], 1, max_iterations=0, cells=16)
+    costs = np.array([np.sqrt(((x - p) ** 2).sum(1)).sum() for p in x])
+    assert found.ids == [int(costs.argmin())]
+    assert found.cost == pytest.approx(costs.min())
+    assert sum(seen) <= 5 * 32
+
+
+def test_slopes_bound_the_costs_of_all_rows(spark):
+    """Every tangent plane lies below the costs, also at repeated rows and rows of one line."""
+    x = np.array([[i % 7, 0.0] for i in range(40)] + [[3.0, i] for i in range(5)])
+    df = distinct_points(frame(spark, x), "k", ["x", "y"]).withColumn("cluster", F.lit(1))
+    rows = df.select("id", "w", "x", "y", "cluster").collect()
+    totals, slopes = kmedoids._exact_costs(df.withColumn("w", F.col("w").cast("double")), ["x", "y"], rows)
+    y = np.array([[r["x"], r["y"]] for r in rows], float)
+    w = np.array([r["w"] for r in rows], float)
+    assert np.allclose(totals, [(w * np.sqrt(((y - p) ** 2).sum(1))).sum() for p in y])
+    for total, slope, p in zip(totals, slopes, y):
+        assert (total + (y - p) @ slope <= totals * (1 + 1e-12)).all()
