@@ -443,3 +443,26 @@ def test_slopes_bound_the_costs_of_all_rows(spark):
     assert np.allclose(totals, [(w * np.sqrt(((y - p) ** 2).sum(1))).sum() for p in y])
     for total, slope, p in zip(totals, slopes, y):
         assert (total + (y - p) @ slope <= totals * (1 + 1e-12)).all()
+
+
+def test_neighbours_found_bound_what_later_blocks_bring():
+    """Once a query has k neighbours, a block brings only nearer ones, not k more; ties and far data included."""
+    rng = np.random.default_rng(8)
+    for shift, scale in ((0.0, 1.0), (1e7, 1.0), (0.0, 1e-6)):
+        x = np.round(rng.normal(0, 1, (6000, 12)), 1) * scale + shift
+        x[5000:5010] = x[:10]  # ties at nothing
+        ids, k = np.arange(len(x)), 7
+        kernel, fold = blocks.nearest_kernel(k), blocks.best_of(k)
+        found, brought = None, 0
+        for lo in range(0, len(x), 500):
+            best = {"best": found} if found else {}
+            part = kernel(ids[:500], x[:500], None, ids[lo : lo + 500], x[lo : lo + 500], None, None, **best)
+            brought += len(part["id"])
+            found = fold([found, part] if found else [part])
+        if shift == 0:
+            assert brought < 12 * 500 * k / 2  # all of them before
+        d = np.sqrt(((x[:500, None, :] - x[None, :, :]) ** 2).sum(2))
+        d[np.arange(500), np.arange(500)] = np.inf
+        order = np.stack([np.lexsort((ids, row))[:k] for row in d])
+        assert (found["neighbour"].reshape(500, k) == order).all()
+        assert np.allclose(found["distance"].reshape(500, k), np.take_along_axis(d, order, axis=1), rtol=1e-12)
